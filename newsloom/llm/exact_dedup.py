@@ -26,6 +26,7 @@ from . import common as C
 
 SEGMENT = 1 << 16
 PROBES = 3
+FLUSH = 1 << 20
 
 
 def _positions(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -65,18 +66,23 @@ def build(keys: DataFrame, rows: int, repeated: bool, bits_per_row: int = 16, ma
     name = keys.columns[0]
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    def segments(keys: list[np.ndarray]) -> pa.RecordBatch:
+        at, n = np.unique(_positions(np.concatenate(keys), bits).ravel(), return_counts=True)
+        segment = (at // SEGMENT).astype(np.int32)
+        cuts = np.flatnonzero(np.diff(segment, prepend=-1))
+        low, ends = (at % SEGMENT).astype(np.uint16), [*cuts[1:].tolist(), len(at)]
+        spans = list(zip(cuts.tolist(), ends))
+        return pa.RecordBatch.from_arrays([pa.array(segment[cuts]), pa.array([low[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([low[a:b][n[a:b] > 1].tobytes() for a, b in spans], pa.binary())], ["segment", "hit", "more"])
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
         for batch in batches:
-            at, n = np.unique(_positions(batch.column(name).to_numpy(zero_copy_only=False), bits).ravel(), return_counts=True)
-            segment = (at // SEGMENT).astype(np.int32)
-            cuts = np.flatnonzero(np.diff(segment, prepend=-1))
-            low = (at % SEGMENT).astype(np.uint16)
-            ends = [*cuts[1:].tolist(), len(at)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(segment[cuts]),
-                pa.array([low[a:b].tobytes() for a, b in zip(cuts.tolist(), ends)], pa.binary()),
-                pa.array([low[a:b][n[a:b] > 1].tobytes() for a, b in zip(cuts.tolist(), ends)], pa.binary()),
-            ], ["segment", "hit", "more"])
+            keys.append(batch.column(name).to_numpy(zero_copy_only=False))
+            if sum(map(len, keys)) >= FLUSH:
+                yield segments(keys)
+                keys = []
+        if sum(map(len, keys)):
+            yield segments(keys)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once: dict[int, np.ndarray] = {}
