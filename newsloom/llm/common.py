@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def group_back(df: DataFrame, keys: list[str], aggs: list[Column], merge: list[C
 
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows with about `most` bytes of text; a longer text is a run of its own."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0))
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0))
     at, total = 0, 0
     for i, n in enumerate(lengths.tolist()):
         if total and total + n > most:
