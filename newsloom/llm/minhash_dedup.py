@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -167,9 +167,9 @@ def _more_pairs(busy: DataFrame, labels: DataFrame, order: int) -> DataFrame:
     place = F.struct(F.xxhash64("name", F.lit(order)).alias("o"), "name")
     members = busy.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name")).withColumn("place", place)
     open_ones = members.groupBy("bucket").agg(F.min("place").alias("first"), F.max("place").alias("last"), (F.min("label") < F.max("label")).alias("open")).filter("open").drop("open")
-    here = members.join(C.materialize(open_ones), "bucket").withColumn("run", F.pmod(F.col("place.o"), F.ceil(F.col("n") / 4)))
-    here = C.materialize(here.select("bucket", "run", "name", "place", "first", "last"))
-    near = C.materialize(here.groupBy("bucket", "run").agg(F.min("place").alias("near")))
+    open_ones = C.materialize(open_ones)
+    here = members.join(open_ones, "bucket").withColumn("run", F.pmod(F.col("place.o"), F.ceil(F.col("n") / 4)))
+    near = here.groupBy("bucket", "run").agg(F.min("place").alias("near"))  # of about four
     found = here.join(near, ["bucket", "run"])
     return _pairs(found.select(F.col("name").alias("a"), F.explode(F.array("first.name", "last.name", "near.name")).alias("b")))
 
@@ -184,12 +184,15 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, t
 
     sides = [classes.select(F.col("name").alias(c), F.col("regs").alias(f"regs_{c}"), F.col("n_shingles").alias(f"n_{c}")) for c in "ab"]
     likely = pairs.join(sides[0], "a").join(sides[1], "b").filter(F.expr(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)"))
-    likely = C.materialize(likely.filter(F.pandas_udf(near, "boolean")("regs_a", "regs_b", "n_a", "n_b")).select("a", "b"))
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("name")).distinct().join(classes, "name").select(F.xxhash64("doc_id").alias("key"))
-    wanted = C.materialize(wanted)
-    bloom = exact_dedup.build(wanted, wanted.count(), repeated=False, **bloom_size)
+    watch = Observation()
+    likely = C.materialize(likely.filter(F.pandas_udf(near, "boolean")("regs_a", "regs_b", "n_a", "n_b")).select("a", "b").observe(watch, F.count("*").alias("n")))
+    if not watch.get["n"]:
+        return likely
+    watch = Observation()
+    wanted = C.materialize(likely.select(F.explode(F.array("a", "b")).alias("name")).distinct().join(classes.select("name", "doc_id"), "name").observe(watch, F.count("*").alias("n")))
+    bloom = exact_dedup.build(wanted.select(F.xxhash64("doc_id").alias("key")), watch.get["n"], repeated=False, **bloom_size)
     sets = docs.filter(bloom.probe(F.xxhash64("doc_id"))).select("text").mapInArrow(_sets(width), "name binary, shingles binary")
-    sets = sets.join(C.materialize(likely.select(F.explode(F.array("a", "b")).alias("name")).distinct()), "name", "left_semi")
+    sets = sets.join(wanted.select("name"), "name", "left_semi")
     sets = C.materialize(sets.groupBy("name").agg(F.first("shingles").alias("shingles")), "none")
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,15 +211,17 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, t
 def components(links: DataFrame) -> DataFrame:
     """name, label of every name in links (a, b): the smallest name that links reach. Rounds of two joins until nothing changes."""
     both = C.materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = C.materialize(both.groupBy(F.col("a").alias("name")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    labels = both.groupBy(F.col("a").alias("name")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    labels = C.materialize(labels)
     while True:
         seen = both.join(labels.withColumnRenamed("name", "b"), "b").groupBy(F.col("a").alias("name")).agg(F.min("label").alias("near"))
         step = labels.join(seen, "name").select("name", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = C.materialize(step)
         jump = step.join(step.select(F.col("name").alias("label"), F.col("label").alias("far")), "label")
-        jump = C.materialize(jump.select("name", F.least("label", "far").alias("label"), (F.least("label", "far") < F.col("old")).alias("moved")))
-        labels = jump.select("name", "label")
-        if not jump.filter("moved").limit(1).count():
+        watch = Observation()
+        moved = F.least("label", "far") < F.col("old")
+        labels = C.materialize(jump.select("name", F.least("label", "far").alias("label"), moved.alias("moved")).observe(watch, F.count_if("moved").alias("moved")))
+        labels = labels.select("name", "label")
+        if not watch.get["moved"]:
             return labels
 
 
@@ -231,18 +236,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first, busy = _first_pairs(able)
     links, labels, order = None, None, 0
     while True:
-        pairs = C.materialize(first if labels is None else _more_pairs(busy, labels, order))
-        new = _linked(pairs, able, docs, width, threshold, bloom_size)
+        new = _linked(first if labels is None else _more_pairs(busy, labels, order), able, docs, width, threshold, bloom_size)
         if labels is not None:
             new = new.join(labels.select(F.col("name").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("name").alias("b"), F.col("label").alias("lb")), "b", "left")
-            new = C.materialize(new.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"))
-        if not new.limit(1).count():
+            new = new.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+        if new.isEmpty():
             break
         links = new if links is None else links.unionByName(new)
         labels, order = components(links), order + 1
     node = classes.select("name", "doc_id", "size")
     node = node.withColumn("label", F.col("name")) if labels is None else node.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
-    label_ids = node.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.sum("size").alias("rows"))
+    label_ids = C.materialize(node.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.sum("size").alias("rows")))
     named = C.materialize(node.join(label_ids, "label").select("name", "component_id", F.col("rows").alias("size")))
     out = some.select("doc_id", "n_shingles", "name").join(named, "name")
     empty = sketched.filter("name IS NULL").select("doc_id", "n_shingles", "name", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("size"))
