@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, exact_dedup, minhash_dedup, packing, quality_rules, sharding, substring_dedup
+from . import bpe, chat_format, exact_dedup, lattice_lm, minhash_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup
 
-MODULES = [quality_rules, packing, exact_dedup, substring_dedup, chat_format, sharding, bpe, minhash_dedup]
+MODULES = [lattice_lm, quality_rules, packing, exact_dedup, substring_dedup, chat_format, sharding, bpe, quality_classifier, minhash_dedup]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
