@@ -1,18 +1,47 @@
-"""The corpus pipeline: each stage works on all that its predecessor kept, through Parquet in the shared folder."""
+"""The corpus pipeline: each stage works on all that its predecessor kept, written as Parquet in the shared folder and read again.
+
+1. quality rules: documents that the rules reject go;
+2. exact dedup: of equal texts the largest doc_id stays;
+3. MinHash near-dedup (five words, 0.8): one document of each group stays;
+4. substring dedup: repeated sentence spans leave all documents but the first that holds them; n_chars follows the text;
+5. packing: the documents' tokens in sequences along the Hilbert curve, a row a piece.
+
+Nulls, empty and very long texts, ties, repeated rows and empty tables are treated as each operator says; stages 1 to 4
+keep extra columns.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from newsloom.llm import common as C
-from newsloom.llm import exact_dedup
+from newsloom.llm import exact_dedup, minhash_dedup, packing, quality_rules, substring_dedup
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep_good(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_copies(docs)
 
 
-STAGES = [("exact dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash_dedup.drop_near_copies(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    freed = substring_dedup.remove_repeats(docs).select(*docs.columns)
+    return freed.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else freed
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.crc32_of(packing.pack(docs))
+
+
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("minhash near-dedup", near), ("substring dedup", substrings), ("packing", pack)]
+#: SQL has no HyperMinHash, sentence runs or tokens; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
