@@ -1 +1 @@
-
+"""Newsloom's functions."""

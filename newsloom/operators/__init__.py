@@ -1 +1 @@
-
+"""Newsloom's operators."""

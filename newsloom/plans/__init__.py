@@ -1 +1 @@
-
+"""Newsloom's plans."""

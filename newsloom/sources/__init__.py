@@ -1 +1 @@
-
+"""Newsloom's sources."""

@@ -1 +1 @@
-
+"""Newsloom's streaming."""
