@@ -20,7 +20,8 @@ def parse_judge(answer: Column, n: Column | int) -> Column:
         v = F.trim(entries[i.cast("string")])
         o = F.from_json(v, "r string, s string")
         region = F.upper(F.trim(F.coalesce(o["r"], F.lit(""))))
-        grade = F.least(F.greatest(F.expr("0") + F.floor(o["s"].try_cast("double")).cast("int"), F.lit(1)), F.lit(5))
+        number = o["s"].try_cast("double").try_cast("int")
+        grade = F.when(number.isNotNull(), F.least(F.greatest(number, F.lit(1)), F.lit(5)))
         old = F.upper(v)
         old_region, old_grade = F.regexp_extract(old, r"^(NO|TR|CA|SC|MIX)\s*([1-5])?$", 1), F.regexp_extract(old, r"^(NO|TR|CA|SC|MIX)\s*([1-5])?$", 2)
         pair = lambda r, s: F.struct(r.alias("region"), s.cast("int").alias("scale"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import zipfile
 from collections.abc import Iterator
 
@@ -32,16 +33,18 @@ def read_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_zipped(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Zipped dumps, a file a task at a time; unreadable files and malformed lines give no rows."""
+    """Zipped dumps, a file a task at a time; unreadable files and lines with too many fields give no rows."""
 
     def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for file, content in zip(part["path"], part["content"]):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(z.namelist()[0]) as f:
-                        for some in pd.read_csv(f, sep="\t", header=None, names=range(WIDTH), usecols=list(COLUMNS), dtype=str, quoting=3, on_bad_lines="skip", encoding_errors="replace", chunksize=20_000):
-                            yield some.set_axis(list(COLUMNS.values()), axis=1).where(some.notna().to_numpy(), None).assign(file=file)
-                except (zipfile.BadZipFile, IndexError, pd.errors.EmptyDataError):
+                        while lines := list(itertools.islice(f, 20_000)):
+                            rows = [line.decode("utf-8", "replace").rstrip("\r\n").split("\t") for line in lines]
+                            rows = [[*(r[i] or None if i < len(r) else None for i in COLUMNS), file] for r in rows if len(r) <= WIDTH]
+                            yield pd.DataFrame(rows, columns=[*COLUMNS.values(), "file"], dtype=object)
+                except (zipfile.BadZipFile, IndexError):
                     continue
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")

@@ -17,7 +17,7 @@ def parse_items(lines: DataFrame, issue: str = "issue", pos: str = "pos", line:
     kind = F.when(F.col("head"), "head").when(F.col("t").startswith("URL:"), "urls").otherwise("text")
     rows = rows.withColumn("kind", kind)
     first = lambda k: F.min_by("t", F.when(F.col("kind") == k, F.col(pos)))
-    urls = F.filter(F.transform(F.split(F.substring(first("urls"), 5, 1_000_000), ";"), F.trim), lambda u: u != "")
+    urls = F.filter(F.transform(F.split(F.substring(first("urls"), 5, 1_000_000), ";"), lambda u: F.trim(u)), lambda u: u != "")
     items = rows.groupBy(issue, "item").agg(first("head").alias("h"), F.coalesce(first("text"), F.lit("")).alias("summary"), F.coalesce(urls, F.array().cast("array<string>")).alias("urls"))
     part = lambda k: F.regexp_extract("h", r"^(\d+)\.\s+(\d{2}\.\d{2}\.\d{4})\s+—\s+(.+)$", k)
     return items.select(issue, part(1).cast("int").alias("number"), part(2).alias("date"), part(3).alias("title"), "summary", "urls")

@@ -64,7 +64,7 @@ def test_text_rules(spark):
     assert not one(spark, T.is_non_event(F.lit(""), F.lit("columns of text"), F.lit("")))
     assert one(spark, T.mixed_script(F.lit("ОДTÜ и AI-платформа"))) == "ОДTÜ" and one(spark, T.mixed_script(F.lit("AI-платформа"))) is None
     assert one(spark, T.third_script(F.lit("этап نظم β"))) == "نظم"
-    assert one(spark, T.numbers_not_in_source(F.lit("89 457 и 12, 2026, 12 000"), F.lit("89.457"))) == ["12 000"]
+    assert one(spark, T.numbers_not_in_source(F.lit("89 457 и 12 и 2026 и 12345"), F.lit("89.457"))) == ["12345"]
     assert one(spark, T.consonant_skeleton(F.lit("ЮК"))) == one(spark, T.consonant_skeleton(F.lit("YÖK"))) == "yk"
     assert one(spark, T.phonetic_skeleton(F.lit("kontenjan"))) == "kontenjan"
     assert one(spark, T.strip_thinking(F.lit("<think>a</think> b"))) == "b" and one(spark, T.strip_fence(F.lit("```json\n[1]\n```"))) == "[1]"
@@ -176,5 +176,5 @@ def test_adapters(spark):
 
 
 def test_parse_dates(spark):
-    assert one(spark, D.parse_iso(F.lit("2026-13-40"))) is None and one(spark, D.parse_iso(F.lit(" 2026-08-04T00"))) == date(2026, 8, 4)
+    assert one(spark, D.parse_iso(F.lit("2026-13-40"))) is None and one(spark, D.parse_iso(F.lit(" 2026-08-04 x"))) == date(2026, 8, 4)
     assert one(spark, D.dump_date(F.lit("20260804121500"))) == date(2026, 8, 4)
