@@ -7,9 +7,10 @@ filled one (the same probing order everywhere), so that small sets match with th
 
 1. Documents with equal sets form a class; from here on classes alone are compared, whatever a class's size.
 2. Bands of `rows` registers put classes into buckets. A bucket gives pairs in proportion to its size: each member
-   with the bucket's first member in a hashed order; buckets of up to four give all their pairs. Then rounds follow:
-   a bucket that still holds several components gives pairs again, in another order (each member with the first, the
-   last and the first of its run of four), until a round finds no new link. No bucket is capped or left out.
+   with the bucket's first member in a hashed order; buckets of up to four give all their pairs. Then rounds follow: in a
+   bucket that still holds several components, each member outside the largest is held against all members of others by
+   estimates, block by block; its best partners become pairs, and when they give no new link, all likely ones do, so
+   that no bucket is capped or left out.
 3. Pairs whose Jaccard estimate, corrected for chance collisions of compressed registers, is far below the threshold go.
 4. The rest are confirmed on their full sets, computed again from the whole texts of the documents concerned alone
    (a bounded Bloom filter of their ids finds them in the second scan, so that texts do not shuffle).
@@ -36,7 +37,9 @@ from . import exact_dedup
 BANDS, ROWS, MANTISSA = 30, 6, 10
 #: Pairs whose estimate is so far below the threshold are not confirmed: over six standard errors with 180 registers.
 MARGIN = 0.2
-SMALL = 4
+#: In buckets with several components left, pairs are told by the estimate: over three standard errors below the threshold.
+OPEN_MARGIN = 0.1
+SMALL, BLOCK, BEST = 4, 1024, 8
 
 
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,16 +165,43 @@ def _first_pairs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _pairs(pairs.unionByName(rest.select("p.a", "p.b"))), here.filter(F.col("n") > SMALL).select("bucket", "name", "n")
 
 
-def _more_pairs(busy: DataFrame, labels: DataFrame, order: int) -> DataFrame:
-    """Pairs, in another order, of the buckets that still hold several components: each member with the bucket's first and last and with the first of its run of about four."""
-    place = F.struct(F.xxhash64("name", F.lit(order)).alias("o"), "name")
-    members = busy.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name")).withColumn("place", place)
-    open_ones = members.groupBy("bucket").agg(F.min("place").alias("first"), F.max("place").alias("last"), (F.min("label") < F.max("label")).alias("open")).filter("open").drop("open")
-    open_ones = C.materialize(open_ones)
-    here = members.join(open_ones, "bucket").withColumn("run", F.pmod(F.col("place.o"), F.ceil(F.col("n") / 4)))
-    near = here.groupBy("bucket", "run").agg(F.min("place").alias("near"))  # of about four
-    found = here.join(near, ["bucket", "run"])
-    return _pairs(found.select(F.col("name").alias("a"), F.explode(F.array("first.name", "last.name", "near.name")).alias("b")))
+def _open_pairs(busy: DataFrame, labels: DataFrame, classes: DataFrame, low: float, most: int | None) -> DataFrame | None:
+    """Pairs across components in buckets that still hold several; None if no bucket does.
+
+    Each member outside its bucket's largest component is held, by estimates, against all members of other components: in blocks of
+    BLOCK by BLOCK members, so that a task's memory does not grow with the bucket, and no pair leaves its task but those whose estimate reaches `low`
+    (with `most`: but the best so many of a member and block).
+    """
+    members = busy.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
+    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("k"))
+    watch = Observation()
+    tops = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1").select("bucket", "top")
+    tops = C.materialize(tops.observe(watch, F.count("*").alias("n")))
+    if not watch.get["n"]:
+        return None
+    here = members.join(tops, "bucket").join(classes.select("name", "regs", "n_shingles"), "name")
+    here = here.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("at", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    every, cols = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), ["bucket", "name", "label", "regs", "n_shingles"]
+    right = here.select(*cols, every.alias("i"), F.col("at").alias("j"), F.lit(False).alias("left"))
+    left = here.filter("label <> top").select(*cols, F.col("at").alias("i"), every.alias("j"), F.lit(True).alias("left"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        names, labels = (np.array(table.column(c).to_pylist(), object) for c in ("name", "label"))
+        _, codes = np.unique(labels, return_inverse=True)
+        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(len(names), -1)
+        n, side = table.column("n_shingles").to_numpy(), table.column("left").to_numpy()
+        others, a, b = np.flatnonzero(~side), [], []
+        for i in np.flatnonzero(side):
+            mine = others[codes[others] != codes[i]]
+            est = estimates(np.broadcast_to(regs[i], (len(mine), regs.shape[1])), regs[mine], np.full(len(mine), n[i]), n[mine])
+            good = np.flatnonzero(est >= low)
+            if most is not None and len(good) > most:
+                good = good[np.argpartition(-est[good], most)[:most]]
+            a.extend([names[i]] * len(good))
+            b.extend(names[mine[good]])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return _pairs(right.unionByName(left).groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary"))
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, threshold: int, bloom_size: dict) -> DataFrame:
@@ -234,16 +264,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = int(np.ceil(threshold / max(1, 100 - threshold)))  # a smaller set is linked with equal ones alone
     able = classes.filter(F.col("n_shingles") >= least)
     first, busy = _first_pairs(able)
-    links, labels, order = None, None, 0
-    while True:
-        new = _linked(first if labels is None else _more_pairs(busy, labels, order), able, docs, width, threshold, bloom_size)
-        if labels is not None:
-            new = new.join(labels.select(F.col("name").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("name").alias("b"), F.col("label").alias("lb")), "b", "left")
-            new = new.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-        if new.isEmpty():
-            break
-        links = new if links is None else links.unionByName(new)
-        labels, order = components(links), order + 1
+    confirm = lambda pairs: _linked(pairs, able, docs, width, threshold, bloom_size)
+    links, labels = confirm(first), None
+    best: int | None = BEST  # the best partners of each member first; when they give no new link, all likely ones
+    if not links.isEmpty():
+        labels = components(links)
+        while (pairs := _open_pairs(busy, labels, able, threshold / 100 - OPEN_MARGIN, best)) is not None:
+            new = confirm(pairs)
+            if new.isEmpty() and best is None:
+                break
+            if new.isEmpty():
+                best = None
+                continue
+            links = links.unionByName(new)
+            labels = components(links)
+            if best is None:
+                break  # all likely pairs of what was apart have been held against each other
     node = classes.select("name", "doc_id", "size")
     node = node.withColumn("label", F.col("name")) if labels is None else node.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
     label_ids = C.materialize(node.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.sum("size").alias("rows")))
