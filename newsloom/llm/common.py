@@ -17,10 +17,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Over so many tasks a hot key is spread before its rows meet their group.
 SALTS = 128
 #: Python functions work on slices of about this many bytes of text.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch at most: texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of rows in an Arrow batch, where it is higher."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -26,7 +26,7 @@ from . import common as C
 
 SEGMENT = 1 << 16
 PROBES = 3
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 
 
 def _positions(keys: np.ndarray, bits: int) -> np.ndarray:

@@ -119,25 +119,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names, at = docs.columns, docs.columns.index(text_col)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, numbers, gone, spans_out = [], [], [], []
-            for text, spans in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
-                parts = sentences(text or "")
-                out = np.zeros(len(parts) + 1, np.int64)
+        for part in (p for batch in batches for p in C.slices(batch, text_col)):
+            texts, numbers, gone = [], [], []
+            for text, spans in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist()):
+                cut = sentences(text or "")
+                out = np.zeros(len(cut) + 1, np.int64)
                 for s in spans or ():
                     out[s["first"]] += 1
                     out[s["last"] + 1] -= 1
                 out = np.cumsum(out[:-1]) > 0
                 if out.any():
-                    text = text[: parts[0][0]] + "".join(text[a:c] for (a, _, c), x in zip(parts, out) if not x)
+                    text = text[: cut[0][0]] + "".join(text[a:c] for (a, _, c), x in zip(cut, out) if not x)
                 texts.append(text)
-                numbers.append(len(parts))
+                numbers.append(len(cut))
                 gone.append(int(out.sum()))
-                spans_out.append(spans)
-            columns = [batch.column(i) for i in range(len(names))]
+            columns = [part.column(i) for i in range(len(names))]
             columns[at] = pa.array(texts, pa.string())
-            spans_type = batch.schema.field(len(names)).type
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans_out, spans_type)], [*names, *added])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int64()), pa.array(gone, pa.int64()), part.column(len(names))], [*names, *added])
 
     kinds = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema.fields)
     return passed.unionByName(met).mapInArrow(cut_out, f"{kinds}, n_sentences long, n_removed long, removed_spans array<struct<first:int,last:int>>")
