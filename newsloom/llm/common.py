@@ -54,6 +54,13 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(name: str, *frames: DataFrame) -> str:
+    """A column name like `name` that none of the frames has."""
+    while any(name.lower() == c.lower() for f in frames for c in f.columns):
+        name += "_"
+    return name
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit(""))
 

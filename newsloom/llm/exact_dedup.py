@@ -108,7 +108,7 @@ def build(keys: DataFrame, rows: int, repeated: bool, bits_per_row: int = 16, ma
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **size: int) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, possibly_repeated."""
-    digests = C.materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(C.text_or_empty(text_col), 256).alias("text_sha256")).withColumn("row", F.monotonically_increasing_id()))
+    digests = C.materialize(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.sha2(C.text_or_empty(f"`{text_col}`"), 256).alias("text_sha256")).withColumn("row", F.monotonically_increasing_id()))
     key = F.xxhash64("text_sha256")
     bloom = build(digests.select(key.alias("key")), digests.count(), repeated=True, **size)
     flagged = digests.withColumn("possibly_repeated", bloom.probe(key))
@@ -120,13 +120,13 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **size: int) -> DataFrame:
     """The rows of docs that stay, with all their columns; a group of copies shrinks to a row a task before it shuffles."""
-    text = C.text_or_empty(text_col)
+    text, maybe = C.text_or_empty(f"`{text_col}`"), C.free("__maybe", docs)
     bloom = build(docs.select(F.xxhash64(text).alias("key")), docs.count(), repeated=True, **size)
-    flagged = docs.withColumn("__maybe", bloom.probe(F.xxhash64(text)))
-    alone = flagged.filter(~F.col("__maybe")).drop("__maybe")
-    rows = flagged.filter("__maybe").select(F.sha2(text, 256).alias("__sha"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
-    best = rows.groupBy("__sha").agg(F.max_by("__row", F.struct(F.col("__row").getField(id_col).isNotNull(), F.col("__row").getField(id_col))).alias("__row"))
-    return alone.union(best.select("__row.*"))
+    flagged = docs.withColumn(maybe, bloom.probe(F.xxhash64(text)))
+    alone = flagged.filter(~F.col(maybe)).drop(maybe)
+    rows = flagged.filter(F.col(maybe)).select(F.sha2(text, 256).alias("sha"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    best = rows.groupBy("sha").agg(F.max_by("row", F.struct(F.col("row").getField(id_col).isNotNull(), F.col("row").getField(id_col))).alias("row"))
+    return alone.union(best.select("row.*"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

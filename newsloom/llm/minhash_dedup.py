@@ -257,7 +257,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80, bands: int = BANDS, rows: int = ROWS, **bloom_size: int) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, and `name` (of its set; null: empty), `size` (rows of its component)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), C.text_or_empty(text_col).alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), C.text_or_empty(f"`{text_col}`").alias("text"))
     sketched = C.materialize(docs.mapInArrow(_sketch(width, bands, rows), "doc_id long, n_shingles long, name binary, regs binary, bands array<long>"))
     some = sketched.filter("name IS NOT NULL")
     classes = C.materialize(some.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("size"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"), F.first("bands").alias("bands")))
@@ -292,13 +292,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params: int) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each group those with the smallest id. Rows without an id stay, and rows of an id that stays anywhere."""
-    gone = near_groups(docs, id_col, text_col, **params).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.max("kept").alias("kept")).filter("NOT kept").select("__id")
+    key, maybe = C.free("__id", docs), C.free("__maybe", docs)
+    gone = near_groups(docs, id_col, text_col, **params).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(key)).agg(F.max("kept").alias("stays")).filter("NOT stays").select(key)
     gone = C.materialize(gone)
-    bloom = exact_dedup.build(gone.select(F.xxhash64("__id").alias("key")), gone.count(), repeated=False)
-    flagged = docs.withColumn("__maybe", bloom.probe(F.xxhash64(F.col(f"`{id_col}`").cast("long"))))
-    maybe = flagged.filter("__maybe")
-    stay = maybe.join(gone, maybe[id_col] == gone["__id"], "left_anti")
-    return flagged.filter("NOT __maybe").unionByName(stay).drop("__maybe")
+    bloom = exact_dedup.build(gone.select(F.xxhash64(key).alias("key")), gone.count(), repeated=False)
+    flagged = docs.withColumn(maybe, bloom.probe(F.xxhash64(F.col(f"`{id_col}`").cast("long"))))
+    met = flagged.filter(F.col(maybe)).join(gone, F.col(f"`{id_col}`") == F.col(key), "left_anti")
+    return flagged.filter(~F.col(maybe)).union(met).drop(maybe)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

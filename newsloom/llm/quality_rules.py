@@ -70,9 +70,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **params: float) -> DataFrame:
     """The rows of docs that are kept, with all their columns and whole texts."""
-    bad = C.materialize(quality(docs, id_col, text_col, host_col, **params).filter("NOT kept").select("__doc").distinct())
+    key = C.free("__doc", docs)
+    bad = C.materialize(quality(docs, id_col, text_col, host_col, **params).filter("NOT kept").select(F.col("__doc").alias(key)).distinct())
     doc = F.xxhash64(F.col(f"`{id_col}`").cast("long"), C.text_or_empty(f"`{text_col}`"))
-    return docs.withColumn("__doc", doc).join(bad, "__doc", "left_anti").drop("__doc")
+    return docs.withColumn(key, doc).join(bad, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,12 +110,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = found.groupBy("h").agg(F.min(place).alias("least"), F.count("*").alias("n")).filter("n > 1").select("h", "least")
     again = C.materialize(again)
     spans = found.join(again, "h").filter(place != F.col("least")).select("doc", F.struct("first", "last").alias("span")).distinct()
-    spans = C.materialize(spans.groupBy("doc").agg(F.sort_array(F.collect_list("span")).alias("__spans")).withColumnRenamed("doc", "__doc"))  # of one document
-    bloom = exact_dedup.build(spans.select(F.col("__doc").alias("key")), spans.count(), repeated=False, **bloom_size)
-    flagged = docs.withColumn("__doc", doc).withColumn("__maybe", bloom.probe(F.col("__doc")))
-    none = F.lit(None).cast("array<struct<first:int,last:int>>").alias("__spans")
-    passed = flagged.filter("NOT __maybe").select(*(F.col(f"`{c}`") for c in docs.columns), none)
-    met = flagged.filter("__maybe").join(spans, "__doc", "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__spans")
+    key, maybe, cut = (C.free(n, docs) for n in ("__doc", "__maybe", "__spans"))
+    spans = C.materialize(spans.groupBy(F.col("doc").alias(key)).agg(F.sort_array(F.collect_list("span")).alias(cut)))  # of one document
+    bloom = exact_dedup.build(spans.select(key), spans.count(), repeated=False, **bloom_size)
+    flagged = docs.withColumn(key, doc).withColumn(maybe, bloom.probe(F.col(key)))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    passed = flagged.filter(~F.col(maybe)).select(*own, F.lit(None).cast("array<struct<first:int,last:int>>").alias(cut))
+    met = flagged.filter(F.col(maybe)).join(spans, key, "left").select(*own, cut)
     names, at = docs.columns, docs.columns.index(text_col)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +139,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int64()), pa.array(gone, pa.int64()), part.column(len(names))], [*names, *added])
 
     kinds = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema.fields)
-    return passed.unionByName(met).mapInArrow(cut_out, f"{kinds}, n_sentences long, n_removed long, removed_spans array<struct<first:int,last:int>>")
+    return passed.union(met).mapInArrow(cut_out, f"{kinds}, n_sentences long, n_removed long, removed_spans array<struct<first:int,last:int>>")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
