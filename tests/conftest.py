@@ -40,7 +40,9 @@ def duck(data):
 
 def plain(value):
     """A value that compares equal across engines."""
-    if value is None or value != value:
+    import pandas as pd
+
+    if value is None or value is pd.NA or value is pd.NaT or isinstance(value, float) and value != value:
         return None
     if hasattr(value, "isoformat"):
         return value.isoformat()[:19]
