@@ -39,7 +39,7 @@ BANDS, ROWS, MANTISSA = 30, 6, 10
 MARGIN = 0.2
 #: In buckets with several components left, pairs are told by the estimate: over three standard errors below the threshold.
 OPEN_MARGIN = 0.1
-SMALL, BLOCK, BEST = 4, 1024, 8
+SMALL, BLOCK, BEST = 4, 1024, 2
 
 
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
