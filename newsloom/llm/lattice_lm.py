@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-LONGEST = 16
+LONGEST = 12
+#: Up to so many bytes, expected counts are taken from plain probabilities.
+PLAIN = 24
 FREQUENT = 200_000
 FLUSH = 200_000
 END = " "
@@ -46,6 +48,9 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+_SPREAD = {22: np.uint64(0x9E3779B97F4A7C15), 18: np.uint64(0xC2B2AE3D27D4EB4F)}
+
+
 def _roll(rows: np.ndarray) -> np.ndarray:
     """Hash sums of the prefixes of each row of bytes."""
     up, _ = C._powers_to(rows.shape[1] + 1)
@@ -68,23 +73,31 @@ class Pieces:
         for n in {len(p) for p, _ in kept}:
             here = [i for i, (p, _) in enumerate(kept) if len(p) == n]
             rows = np.frombuffer(b"".join(kept[i][0] for i in here), np.uint8).reshape(len(here), n)
-            hashes[here] = C.mix(_roll(rows)[:, n] + np.uint64(n))
-        order = np.argsort(hashes)
-        self.hashes, self.order = hashes[order], order.astype(np.int32)
-        #: Buckets by the top 18 bits: where a search begins; none holds many.
-        self.bucket = np.searchsorted(self.hashes, np.arange((1 << 18) + 1, dtype=np.uint64) << np.uint64(46)).astype(np.int32)
-        self.bucket[-1] = self.n
-        self.deepest = int(np.diff(self.bucket).max())
+            hashes[here] = _roll(rows)[:, n] + np.uint64(n)
+        #: A place for each piece by bits of its hash; those whose place is taken go to a smaller table with places of their own.
+        self.first, rest = self._table(hashes, np.arange(self.n), 22)
+        self.second, rest = self._table(hashes, rest, 18)
+        self.last = [(hashes[i], int(i)) for i in rest]
+        self.hashes = np.append(hashes, np.uint64(0))  # that of none is never asked for: a hash of 0 belongs to no text
+
+    @staticmethod
+    def _table(hashes: np.ndarray, which: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """A table of 2**bits places, and the pieces that found theirs taken."""
+        table = np.full(1 << bits, len(hashes), np.int32)
+        place = ((hashes[which] * _SPREAD[bits]) >> np.uint64(64 - bits)).astype(np.int64)
+        table[place[::-1]] = which[::-1]
+        return table, which[table[place] != which]
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The pieces of the hashes, or -1."""
-        top = (hashes >> np.uint64(46)).astype(np.int64)
-        at, stop = self.bucket[top], self.bucket[top + 1]
-        out = np.full(hashes.shape, -1, np.int32)
-        for k in range(self.deepest):
-            here = at + k
-            hit = (here < stop) & (self.hashes[np.minimum(here, self.n - 1)] == hashes)
-            out[hit] = self.order[here[hit]]
+        """The pieces of the hashes, or n for none."""
+        out = self.first[(hashes * _SPREAD[22]) >> np.uint64(42)]
+        miss = self.hashes[out] != hashes
+        out[miss] = self.n
+        other = self.second[(hashes * _SPREAD[18]) >> np.uint64(46)]
+        hit = self.hashes[other] == hashes
+        out[hit] = other[hit]
+        for h, i in self.last:
+            out[hashes == h] = i
         return out
 
     def lattice(self, rows: np.ndarray) -> np.ndarray:
@@ -94,9 +107,7 @@ class Pieces:
         _, down = C._powers_to(n + 1)
         out = np.full((count, n, LONGEST), self.n, np.int32)
         for size in range(1, min(n, LONGEST) + 1):
-            h = C.mix((sums[:, size:] - sums[:, : n - size + 1]) * down[: n - size + 1] + np.uint64(size))
-            found = self.find(h)
-            out[:, size - 1 :, size - 1] = np.where(found < 0, self.n, found)
+            out[:, size - 1 :, size - 1] = self.find((sums[:, size:] - sums[:, : n - size + 1]) * down[: n - size + 1] + np.uint64(size))
         return out
 
 
@@ -144,7 +155,7 @@ def _groups(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     cuts = np.flatnonzero(np.diff(sizes[order], prepend=-1))
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
         n = int(sizes[order[a]]) + 1
-        step = max(1, (1 << 17) // n)
+        step = max(1, (1 << 14) // n)
         for c in range(a, b, step):
             at = order[c : min(b, c + step)]
             yield np.frombuffer(b"".join(b" " + words[i] for i in at.tolist()), np.uint8).reshape(len(at), n), at
@@ -161,15 +172,33 @@ def word_scores(words: list[bytes], vocabulary: Pieces, log_p: np.ndarray) -> np
 
 def expected_counts(words: list[bytes], times: np.ndarray, vocabulary: Pieces, log_p: np.ndarray) -> np.ndarray:
     """How often each piece is expected in the words, each taken so many times."""
-    total = np.zeros(vocabulary.n)
+    total, p = np.zeros(vocabulary.n + 1), np.exp(log_p)
+    p[-1] = 0
     for rows, at in _groups(words):
         found = vocabulary.lattice(rows)
-        scores = log_p[found]
-        alpha, beta = _forward(scores), _backward(scores)
-        word, i, k = np.nonzero(found < vocabulary.n)
-        share = np.exp(alpha[word, LONGEST - 1 + i - k] + scores[word, i, k] + beta[word, i + 1] - alpha[word, -1])
-        total += np.bincount(found[word, i, k], share * times[at][word], vocabulary.n)
-    return total
+        count, n = rows.shape
+        if n > PLAIN:
+            scores = log_p[found]
+            alpha, beta = _forward(scores), _backward(scores)
+            word, i, k = np.nonzero(found < vocabulary.n)
+            share = np.exp(alpha[word, LONGEST - 1 + i - k] + scores[word, i, k] + beta[word, i + 1] - alpha[word, -1])
+            total += np.bincount(found[word, i, k], share * times[at][word], vocabulary.n + 1)
+            continue
+        part = p[found]  # of short words no product underflows, so that counts need no logarithms
+        ahead = np.zeros_like(part)
+        for k in range(min(n, LONGEST)):
+            ahead[:, : n - k, k] = part[:, k:, k]
+        alpha, beta = np.zeros((count, n + LONGEST)), np.zeros((count, n + LONGEST))
+        alpha[:, LONGEST - 1] = beta[:, n] = 1
+        for i in range(n):
+            alpha[:, LONGEST + i] = np.einsum("rk,rk->r", alpha[:, i : i + LONGEST][:, ::-1], part[:, i])
+            j = n - 1 - i
+            beta[:, j] = np.einsum("rk,rk->r", beta[:, j + 1 : j + 1 + LONGEST], ahead[:, j])
+        after = beta[:, 1 : n + 1] * (times[at] / alpha[:, -1])[:, None]
+        for k in range(min(n, LONGEST)):
+            part[:, :, k] *= alpha[:, LONGEST - 1 - k : LONGEST - 1 - k + n] * after
+        total += np.bincount(found.ravel(), part.ravel(), vocabulary.n + 1)
+    return total[:-1]
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +259,7 @@ def fit(words: DataFrame, vocabulary: str, rounds: int) -> tuple[np.ndarray, flo
     return log_p, log_end
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, rounds: int = 4, frequent: int = FREQUENT, every: int = 10) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, rounds: int = 3, frequent: int = FREQUENT, every: int = 10) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10)."""
     spark, path = docs.sparkSession, vocabulary or default_vocabulary()
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), held_out(F.col(f"`{id_col}`"), every).alias("held_out"), C.text_or_empty(f"`{text_col}`").alias("text"))
