@@ -112,9 +112,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     key = table.select("place", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("o"), "n")
     rows, tokens = key.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     ranges = max(1, min(rows, max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens >> 25)))
-    some = sorted(tuple(r) for r in key.select("place", "o").sample(min(1.0, sample / max(rows, 1)), seed=1).limit(2 * sample).collect())
-    at = [some[len(some) * i // ranges] for i in range(1, ranges)] if some else []
-    limits = spark.sparkContext.broadcast(np.array(at, [("place", "<i8"), ("o", "<i8")]) if at else np.zeros(0, [("place", "<i8"), ("o", "<i8")]))
+    some = sorted(tuple(r) for r in key.sample(min(1.0, sample / max(rows, 1)), seed=1).limit(2 * sample).collect())
+    share = np.cumsum([n for _, _, n in some]) if some else np.zeros(0)  # ranges of equal shares of tokens, not of documents
+    at = [some[k][:2] for k in np.searchsorted(share, share[-1] * np.arange(1, ranges) / ranges)] if some else []
+    limits = spark.sparkContext.broadcast(np.array(at, [("place", "<i8"), ("o", "<i8")]))
 
     def range_of(place: pd.Series, o: pd.Series) -> pd.Series:
         both = np.empty(len(place), limits.value.dtype)
