@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-LONGEST = 12
+#: Bytes of the longest usable piece of the default vocabulary; that of any vocabulary is Pieces.longest, no piece is left out for its length.
+LONGEST = 33
 #: Up to so many bytes, expected counts are taken from plain probabilities.
 PLAIN = 24
 FREQUENT = 200_000
@@ -60,17 +61,19 @@ def _roll(rows: np.ndarray) -> np.ndarray:
 
 
 class Pieces:
-    """The vocabulary's pieces without an inner space and of at most LONGEST bytes, found by their hashes."""
+    """The vocabulary's pieces that a lower-cased word can hold (no inner space, no A-Z), of any length, found by their hashes."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             ranked = [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, f)]
-        kept = [(p, r) for p, r in ranked if len(p) <= LONGEST and b" " not in p[1:] and not any(C._IS_SPACE[c] for c in p[1:]) and p == p.lower() or len(p) == 1]
+        kept = [(p, r) for p, r in ranked if b" " not in p[1:] and not any(C._IS_SPACE[c] for c in p[1:]) and p == p.lower() or len(p) == 1]
         self.n = len(kept)
+        self.sizes = sorted({len(p) for p, _ in kept})
+        self.longest = self.sizes[-1]
         weights = 1.0 / (np.array([r for _, r in kept]) + 100.0)
         self.start = np.log(weights / weights.sum())
         hashes = np.zeros(self.n, np.uint64)
-        for n in {len(p) for p, _ in kept}:
+        for n in self.sizes:
             here = [i for i, (p, _) in enumerate(kept) if len(p) == n]
             rows = np.frombuffer(b"".join(kept[i][0] for i in here), np.uint8).reshape(len(here), n)
             hashes[here] = _roll(rows)[:, n] + np.uint64(n)
@@ -101,12 +104,12 @@ class Pieces:
         return out
 
     def lattice(self, rows: np.ndarray) -> np.ndarray:
-        """For rows of n bytes: the piece (or n of all pieces: none) that ends at each byte with each length, [rows, n, LONGEST]."""
+        """For rows of n bytes: the piece (or n of all pieces: none) that ends at each byte with each length, [rows, n, the longest that fits]."""
         count, n = rows.shape
         sums = _roll(rows)
         _, down = C._powers_to(n + 1)
-        out = np.full((count, n, LONGEST), self.n, np.int32)
-        for size in range(1, min(n, LONGEST) + 1):
+        out = np.full((count, n, min(n, self.longest)), self.n, np.int32)
+        for size in (k for k in self.sizes if k <= n):
             out[:, size - 1 :, size - 1] = self.find((sums[:, size:] - sums[:, : n - size + 1]) * down[: n - size + 1] + np.uint64(size))
         return out
 
@@ -126,25 +129,25 @@ LOW = -1e30
 
 
 def _forward(scores: np.ndarray) -> np.ndarray:
-    """Log sums over all segmentations of each row's prefixes: [rows, n + LONGEST], the empty prefix at LONGEST - 1."""
-    count, n, _ = scores.shape
-    alpha = np.full((count, n + LONGEST), LOW)
-    alpha[:, LONGEST - 1] = 0
+    """Log sums over all segmentations of each row's prefixes: [rows, n + longest], the empty prefix at longest - 1."""
+    count, n, longest = scores.shape
+    alpha = np.full((count, n + longest), LOW)
+    alpha[:, longest - 1] = 0
     for i in range(n):  # pieces of 1, 2, ... bytes that end here begin at i, i - 1, ...
-        alpha[:, LONGEST + i] = _log_sum(alpha[:, i : i + LONGEST][:, ::-1] + scores[:, i])
+        alpha[:, longest + i] = _log_sum(alpha[:, i : i + longest][:, ::-1] + scores[:, i])
     return alpha
 
 
 def _backward(scores: np.ndarray) -> np.ndarray:
-    """Log sums over all segmentations of each row's rest after each byte: [rows, n + LONGEST], the empty rest at n."""
-    count, n, _ = scores.shape
+    """Log sums over all segmentations of each row's rest after each byte: [rows, n + longest], the empty rest at n."""
+    count, n, longest = scores.shape
     ahead = np.full_like(scores, LOW)  # by where a piece begins
-    for k in range(min(n, LONGEST)):
+    for k in range(longest):
         ahead[:, : n - k, k] = scores[:, k:, k]
-    beta = np.full((count, n + LONGEST), LOW)
+    beta = np.full((count, n + longest), LOW)
     beta[:, n] = 0
     for i in range(n - 1, -1, -1):
-        beta[:, i] = _log_sum(beta[:, i + 1 : i + 1 + LONGEST] + ahead[:, i])
+        beta[:, i] = _log_sum(beta[:, i + 1 : i + 1 + longest] + ahead[:, i])
     return beta
 
 
@@ -176,27 +179,27 @@ def expected_counts(words: list[bytes], times: np.ndarray, vocabulary: Pieces, l
     p[-1] = 0
     for rows, at in _groups(words):
         found = vocabulary.lattice(rows)
-        count, n = rows.shape
+        count, n, longest = found.shape
         if n > PLAIN:
             scores = log_p[found]
             alpha, beta = _forward(scores), _backward(scores)
             word, i, k = np.nonzero(found < vocabulary.n)
-            share = np.exp(alpha[word, LONGEST - 1 + i - k] + scores[word, i, k] + beta[word, i + 1] - alpha[word, -1])
+            share = np.exp(alpha[word, longest - 1 + i - k] + scores[word, i, k] + beta[word, i + 1] - alpha[word, -1])
             total += np.bincount(found[word, i, k], share * times[at][word], vocabulary.n + 1)
             continue
         part = p[found]  # of short words no product underflows, so that counts need no logarithms
         ahead = np.zeros_like(part)
-        for k in range(min(n, LONGEST)):
+        for k in range(longest):
             ahead[:, : n - k, k] = part[:, k:, k]
-        alpha, beta = np.zeros((count, n + LONGEST)), np.zeros((count, n + LONGEST))
-        alpha[:, LONGEST - 1] = beta[:, n] = 1
+        alpha, beta = np.zeros((count, n + longest)), np.zeros((count, n + longest))
+        alpha[:, longest - 1] = beta[:, n] = 1
         for i in range(n):
-            alpha[:, LONGEST + i] = np.einsum("rk,rk->r", alpha[:, i : i + LONGEST][:, ::-1], part[:, i])
+            alpha[:, longest + i] = np.einsum("rk,rk->r", alpha[:, i : i + longest][:, ::-1], part[:, i])
             j = n - 1 - i
-            beta[:, j] = np.einsum("rk,rk->r", beta[:, j + 1 : j + 1 + LONGEST], ahead[:, j])
+            beta[:, j] = np.einsum("rk,rk->r", beta[:, j + 1 : j + 1 + longest], ahead[:, j])
         after = beta[:, 1 : n + 1] * (times[at] / alpha[:, -1])[:, None]
-        for k in range(min(n, LONGEST)):
-            part[:, :, k] *= alpha[:, LONGEST - 1 - k : LONGEST - 1 - k + n] * after
+        for k in range(longest):
+            part[:, :, k] *= alpha[:, longest - 1 - k : longest - 1 - k + n] * after
         total += np.bincount(found.ravel(), part.ravel(), vocabulary.n + 1)
     return total[:-1]
 
@@ -259,7 +262,7 @@ def fit(words: DataFrame, vocabulary: str, rounds: int) -> tuple[np.ndarray, flo
     return log_p, log_end
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, rounds: int = 3, frequent: int = FREQUENT, every: int = 10) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, rounds: int = 4, frequent: int = FREQUENT, every: int = 10) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10)."""
     spark, path = docs.sparkSession, vocabulary or default_vocabulary()
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), held_out(F.col(f"`{id_col}`"), every).alias("held_out"), C.text_or_empty(f"`{text_col}`").alias("text"))

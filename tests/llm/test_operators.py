@@ -307,6 +307,40 @@ def test_lattice_recursion():
     assert (lattice_lm.word_scores(words, v, better) * [1, 2, 3, 4, 5]).sum() > (lattice_lm.word_scores(words, v, log_p) * [1, 2, 3, 4, 5]).sum()
 
 
+def test_lattice_holds_every_piece_of_the_vocabulary():
+    import base64
+    from inspect import signature
+
+    v = lattice_lm.pieces(lattice_lm.default_vocabulary())
+    with open(lattice_lm.default_vocabulary(), "rb") as f:
+        usable = {p for p in (base64.b64decode(line.split()[0]) for line in f) if len(p) == 1 or p == p.lower() and not any(c in b" \t\n\x0b\x0c\r" for c in p[1:])}
+    assert v.n == len(usable) and v.longest == lattice_lm.LONGEST == max(map(len, usable)) and signature(lattice_lm.score_texts).parameters["rounds"].default == 4
+    rng = np.random.default_rng(3)
+    log_p = np.append(np.log(rng.random(v.n) / v.n), lattice_lm.LOW)
+    number = {p: int(v.lattice(np.frombuffer(p, np.uint8).reshape(1, -1))[0, -1, -1]) for p in usable}
+    assert sorted(number.values()) == list(range(v.n))
+    words = ["relationship", "institutions", "возможность", "использовать", "ありがとうございました", "ありがとうございますありがとうございました", "a"]
+    words = [w.encode() for w in words] + [p.strip(b" ") for p in sorted(usable, key=len)[-40:]]
+
+    def sums(w):
+        total = [1.0] + [0.0] * len(w)
+        for e in range(1, len(w) + 1):
+            total[e] = sum(total[b] * math.exp(log_p[number[w[b:e]]]) for b in range(e) if w[b:e] in number)
+        return total
+
+    assert np.allclose(lattice_lm.word_scores(words, v, log_p), [math.log(sums(b" " + w)[-1]) for w in words])
+    counts, want = lattice_lm.expected_counts(words, np.arange(1.0, len(words) + 1), v, log_p), np.zeros(v.n)
+    for k, w in enumerate(b" " + w for w in words):
+        ahead = sums(w)
+        back = [0.0] * len(w) + [1.0]
+        for b in range(len(w) - 1, -1, -1):
+            back[b] = sum(back[e] * math.exp(log_p[number[w[b:e]]]) for e in range(b + 1, len(w) + 1) if w[b:e] in number)
+            for e in range(b + 1, len(w) + 1):
+                if w[b:e] in number:
+                    want[number[w[b:e]]] += (k + 1) * ahead[b] * math.exp(log_p[number[w[b:e]]]) * back[e] / ahead[-1]
+    assert np.allclose(counts, want)
+
+
 def test_classifier(spark, docs, none):
     rows = [(i, prose(60, i) if i % 3 else " ".join([VOCABULARY[i % 50]] * 50), "en", "s", 0) for i in range(600)]
     d = spark.createDataFrame(rows, KINDS)
