@@ -2,9 +2,8 @@
 
 Each line is normalised (trimmed, lower-cased, runs of digits to 0, runs of white space to one space) and hashed. A line
 that more than `max_docs` distinct documents of one host hold is removed from all of them but the first (by doc_id);
-a document is rejected if less than `min_share` of the characters of its lines are left. Exact and near copies of one text
-are the business of other operators: documents whose least hash of all five-word windows is equal count once for a line,
-and the first document always keeps its lines, so a group of copies is never rejected as a whole.
+a document is rejected if less than `min_share` of the characters of its lines are left. Copies of one text under several
+ids are several documents. The first document always keeps its lines, so a group of copies is never rejected as a whole.
 
 Beside it stand the plain rules of a single text: fewer than `min_words` words, or more than `max_repeat` percent of the
 words inside five-word windows that occur twice or more.
@@ -26,12 +25,12 @@ SYMBOLS = r"[^#*$%&|<>]"
 
 
 def _text_rules(docs: DataFrame) -> DataFrame:
-    """Adds the counts over single texts, the document's mark and its distinct line hashes with their characters."""
+    """Adds the counts over single texts and the line hashes with their characters."""
     words = F.filter(F.split("__text", C.SPACE), lambda w: w != "")
     d = docs.withColumn("__w", words)
     d = d.withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w)))
     d = d.withColumn("__win", F.when(F.size("__h") >= WIDTH, F.expr(f"transform(sequence(0, size(__h) - {WIDTH}), i -> struct(xxhash64({', '.join(f'__h[i + {k}]' for k in range(WIDTH))}) AS h, i AS i))")).otherwise(F.expr("array(struct(xxhash64(__text) AS h, -1 AS i))")))
-    d = d.withColumn("__sorted", F.sort_array("__win")).withColumn("__mark", F.col("__sorted")[0]["h"])
+    d = d.withColumn("__sorted", F.sort_array("__win"))
     again = F.expr("filter(transform(__sorted, (x, k) -> if(x.i >= 0 AND ((k > 0 AND x.h = __sorted[k - 1].h) OR (k + 1 < size(__sorted) AND x.h = get(__sorted, k + 1).h)), x.i, -1)), p -> p >= 0)")
     d = d.withColumn("__again", F.sort_array(again))
     covered = F.expr(f"aggregate(__again, struct(0L AS n, -{WIDTH} AS last), (a, p) -> struct(a.n + least({WIDTH}, p - a.last) AS n, p AS last), a -> a.n)")
@@ -53,9 +52,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     d = d.withColumn("__doc", F.xxhash64("doc_id", "__text"))
     d = C.materialize(_text_rules(d))
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    lines = d.select("__host", "__mark", order.alias("o"), F.explode(F.array_distinct(F.transform("__lines", lambda x: x["h"]))).alias("h"))
-    by_mark = lines.groupBy("__host", "h", "__mark").agg(F.min("o").alias("o"))
-    common = by_mark.groupBy("__host", "h").agg(F.count("*").alias("n"), F.min("o").alias("first")).filter(F.col("n") > max_docs).select("__host", "h", "first")
+    lines = d.select("__host", "__doc", order.alias("o"), F.explode(F.array_distinct(F.transform("__lines", lambda x: x["h"]))).alias("h"))
+    by_doc = lines.groupBy("__host", "h", "__doc").agg(F.min("o").alias("o"))
+    common = by_doc.groupBy("__host", "h").agg(F.count("*").alias("n"), F.min("o").alias("first")).filter(F.col("n") > max_docs).select("__host", "h", "first")
     common = C.materialize(common)
     every = d.select("doc_id", "__doc", "__host", order.alias("o"), F.explode("__lines").alias("l")).select("doc_id", "__doc", "__host", "o", F.col("l.h").alias("h"))
     hit = every.join(common, ["__host", "h"]).filter(F.col("o") > F.col("first")).select("__doc", "h").distinct()

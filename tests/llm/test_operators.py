@@ -137,6 +137,18 @@ def test_boilerplate_is_removed_and_depletes(spark):
     assert all(got[i]["n_removed_lines"] == 1 and got[i]["kept"] == (i % 2 == 1) for i in range(1, 30))
 
 
+def test_pages_with_much_navigation_are_each_counted(spark):
+    navigation = "\n".join(prose(10, 900 + k) for k in range(20))
+    rows = [(i, navigation + "\n" + prose(10, 5000 + i), "en", "h", 0) for i in range(120)]
+    rows += [(1000 + i, prose(60, 2000 + i), "en", "h", 0) for i in range(5)]
+    rows += [(1000, prose(60, 2000), "en", "h", 0)] * 60  # repeated rows are one document
+    got = quality_rules.quality(spark.createDataFrame(rows, KINDS)).collect()
+    pages = {r["doc_id"]: r for r in got if r["doc_id"] < 120}
+    assert pages[0]["n_removed_lines"] == 0 and pages[0]["kept"]
+    assert all(pages[i]["n_removed_lines"] == 20 and not pages[i]["kept"] for i in range(1, 120))
+    assert all(r["kept"] and not r["n_removed_lines"] for r in got if r["doc_id"] >= 1000)
+
+
 def components(rows, width, threshold):
     sets = {}
     for n, (i, t) in enumerate(rows):
