@@ -1,6 +1,6 @@
 """The corpus pipeline: each stage works on all that its predecessor kept, written as Parquet in the shared folder and read again.
 
-1. quality rules: documents that the rules reject go;
+1. quality rules: documents that the rules reject go, and lines above the limit leave the others; n_chars follows the text;
 2. exact dedup: of equal texts the largest doc_id stays;
 3. MinHash near-dedup (five words, 0.8): one document of each group stays;
 4. substring dedup: repeated sentence spans leave all documents but the first that holds them; n_chars follows the text;
@@ -20,7 +20,8 @@ from newsloom.llm import exact_dedup, minhash_dedup, packing, quality_rules, sub
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.keep_good(docs)
+    good = quality_rules.keep_good(docs)
+    return good.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else good
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

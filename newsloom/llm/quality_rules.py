@@ -10,12 +10,12 @@ words inside five-word windows that occur twice or more.
 
 Null and empty texts have no words and fail the plain rules; a null host is a host of its own; rows with a null doc_id come after all others.
 Repeated rows (same id, text and host) count as one document and share one verdict. Empty tables give empty results; extra
-columns are kept by `keep_good` and ignored by `quality`.
+columns are kept by `keep_good` and ignored by `quality` and `judged`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -24,6 +24,16 @@ WIDTH = 5
 SYMBOLS = r"[^#*$%&|<>]"
 
 
+def _normal(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"\d+", "0"), C.SPACE, " "))
+
+
+def _without(text: Column, gone: Column) -> Column:
+    """The text without the lines of these hashes; lines without words are no lines and stay."""
+    left = F.filter(F.split(text, "\n"), lambda x: ~(x.rlike(C.WORD) & F.array_contains(gone, F.xxhash64(_normal(x)))))
+    return F.when(F.size(gone) > 0, F.array_join(left, "\n")).otherwise(text)
+
+
 def _text_rules(docs: DataFrame) -> DataFrame:
     """Adds the counts over single texts and the line hashes with their characters."""
     words = F.filter(F.split("__text", C.SPACE), lambda w: w != "")
@@ -39,13 +49,13 @@ def _text_rules(docs: DataFrame) -> DataFrame:
     d = d.withColumn("n_symbols", F.char_length(F.regexp_replace("__text", SYMBOLS, "")).cast("long"))
     raw = F.filter(F.split("__text", "\n"), lambda x: x.rlike(C.WORD))
     d = d.withColumn("__raw", raw).withColumn("n_dup_lines", (F.size("__raw") - F.size(F.array_distinct("__raw"))).cast("long"))
-    normal = F.transform("__raw", lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"\d+", "0"), C.SPACE, " ")))
+    normal = F.transform("__raw", _normal)
     d = d.withColumn("__lines", F.transform(normal, lambda x: F.struct(F.xxhash64(x).alias("h"), F.char_length(x).alias("n")))).drop("__raw", "__text")
     return d
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 50, min_share: float = 0.3, min_words: int = 10, max_repeat: int = 20) -> DataFrame:
-    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines, n_removed_lines."""
+    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines, n_removed_lines, and what finds the rows again: __doc, and the hashes of the removed lines in __gone."""
     host = F.coalesce(F.xxhash64(F.col(f"`{host_col}`").cast("string")), F.lit(0))
     text = C.text_or_empty(f"`{text_col}`")
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("__text"), F.when(F.col(f"`{host_col}`").isNull(), 0).otherwise(host).alias("__host"))
@@ -64,19 +74,33 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     chars = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["n"])
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     depleted = chars(F.col("__lines")) - chars(removed) < min_share * chars(F.col("__lines"))
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), F.size("__lines").cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed_lines"), "__doc")
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), F.size("__lines").cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed_lines"), "__doc", F.col("gone").alias("__gone"))
+
+
+def _doc(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(f"`{id_col}`").cast("long"), C.text_or_empty(f"`{text_col}`"))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **params: float) -> DataFrame:
-    """The rows of docs that are kept, with all their columns and whole texts."""
-    key = C.free("__doc", docs)
-    bad = C.materialize(quality(docs, id_col, text_col, host_col, **params).filter("NOT kept").select(F.col("__doc").alias(key)).distinct())
-    doc = F.xxhash64(F.col(f"`{id_col}`").cast("long"), C.text_or_empty(f"`{text_col}`"))
-    return docs.withColumn(key, doc).join(bad, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of docs that are kept, with all their columns, and their texts without the removed lines."""
+    key, kept, gone = (C.free(n, docs) for n in ("__doc", "__kept", "__gone"))
+    touched = quality(docs, id_col, text_col, host_col, **params).filter("NOT kept OR n_removed_lines > 0")
+    touched = C.materialize(touched.select(F.col("__doc").alias(key), F.col("kept").alias(kept), F.col("__gone").alias(gone)).dropDuplicates([key]))
+    met = docs.withColumn(key, _doc(id_col, text_col)).join(touched, key, "left").filter(F.coalesce(kept, F.lit(True)))
+    text = _without(F.col(f"`{text_col}`"), F.coalesce(gone, F.array().cast("array<bigint>"))).alias(text_col)
+    return met.select(*(text if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **params: float) -> DataFrame:
+    """What `quality` counts, and the text without the removed lines, for all rows, the rejected ones too."""
+    verdicts = quality(docs, id_col, text_col, host_col, **params).dropDuplicates(["__doc"]).drop("doc_id")
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), _doc(id_col, text_col).alias("__doc"))
+    counts = [c for c in verdicts.columns if not c.startswith("__")]
+    return own.join(verdicts, "__doc").select("doc_id", *counts, _without(F.col("text"), F.col("__gone")).alias("text"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(C.table(spark, sf_dir, "documents")).drop("__doc")
+    return judged(C.table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op2_quality_rules": op2_quality_rules}

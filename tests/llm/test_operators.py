@@ -149,6 +149,23 @@ def test_pages_with_much_navigation_are_each_counted(spark):
     assert all(r["kept"] and not r["n_removed_lines"] for r in got if r["doc_id"] >= 1000)
 
 
+def test_removed_lines_leave_the_texts(spark):
+    lines = ["Home | News   | Sport", "Page 12 of 40, read on"]
+    own = [prose(30, 7000 + i) for i in range(60)]
+    rows = [(i, f"{lines[0]}\n\n{own[i]}\n{lines[1].replace('12', str(i))}\n", "en", "h", 0) for i in range(60)]
+    rows += [(100, f"{lines[0]}\n{own[0]}", "en", "other", 0), (101, None, "en", "h", 0), (5, rows[5][1], "en", "h", 0), (102, "\n".join(lines * 6), "en", "h", 0)]
+    d = spark.createDataFrame(rows, KINDS).withColumn("extra", F.lit("x"))
+    want = Counter((i, t if i in (0, 100) else f"\n{own[i]}\n") for i, t, *_ in rows if i < 101)
+    kept = quality_rules.keep_good(d)
+    assert kept.columns == d.columns and Counter((r["doc_id"], r["text"]) for r in kept.collect()) == want
+    every = quality_rules.judged(d).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in every) == want + Counter([(101, None), (102, "")])
+    assert {r["n_removed_lines"] for r in every if 0 < r["doc_id"] < 100} == {2} and not any(r["kept"] for r in every if r["doc_id"] > 100)
+    import corpus_pipeline
+
+    assert all(r["n_chars"] == len(r["text"]) for r in corpus_pipeline.quality(spark, d, "").collect())
+
+
 def components(rows, width, threshold):
     sets = {}
     for n, (i, t) in enumerate(rows):
