@@ -257,6 +257,27 @@ def test_substring_runs_by_brute_force(spark):
         assert got[i] == ("".join(t[a:c] for k, (a, _, c) in enumerate(parts) if k not in gone[i]) if gone[i] else t)
 
 
+@pytest.mark.parametrize("kind", ["stops", "no stops", "full-width"])
+def test_any_fifty_repeated_words_are_found(spark, kind):
+    r = random.Random(11)
+
+    def text(n):
+        if kind == "full-width":
+            return "".join(chr(r.randrange(0x4E00, 0x9FA0)) + ("，" if r.random() < 0.06 else "") for _ in range(2 * n))
+        words = ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+        return " ".join(w + ("," if kind == "stops" and r.random() < 0.06 else "") for w in words)
+
+    gap, rows = "" if kind == "full-width" else " ", []
+    for i in range(300):
+        passage = text(50)
+        rows += [(2 * i + k, gap.join([text(r.randint(5, 60)), passage, text(r.randint(5, 60))]), "en", "s", 0) for k in range(2)]
+    got = {x["doc_id"]: x for x in substring_dedup.remove_repeats(spark.createDataFrame(rows, KINDS)).collect()}
+    assert all(got[i]["text"] == t if i % 2 == 0 else got[i]["n_removed"] >= 2 and len(got[i]["text"]) < len(t) for i, t, *_ in rows)
+    for i, t, *_ in rows:
+        cut = substring_dedup.sentences(t)
+        assert "".join(t[a:c] for a, _, c in cut) == t and all(len(substring_dedup.UNIT.findall(t[a:b])) <= 16 and t[b:c].strip() == "" for a, b, c in cut)
+
+
 def test_packing(spark, docs, none):
     from tokenizers import Tokenizer
 
