@@ -79,8 +79,9 @@ def recent_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def parse_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "conversations").filter("role IN ('user', 'assistant')")
-    head = F.concat(F.lit("1. 01.02.2026 — "), F.trim(F.substring(F.regexp_replace("text", r"\s+", " "), 1, 40)))
-    lines = c.select(F.col("conv_id").alias("issue"), F.col("turn").alias("pos"), F.when(F.col("role") == "user", head).otherwise(F.substring(F.regexp_replace("text", r"\s+", " "), 1, 40)).alias("line"))
+    text = F.trim(F.regexp_replace("text", r"\s+", " "))
+    head = F.concat(F.lit("1. 01.02.2026 — "), text)
+    lines = c.select(F.col("conv_id").alias("issue"), F.col("turn").alias("pos"), F.when(F.col("role") == "user", head).otherwise(text).alias("line"))
     return issues.parse_items(lines)
 
 
