@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
+from .cluster import BLOCK
 
 
 def ndcg(gains: DataFrame, k: int, group: list[str], rank: str = "rank", gain: str = "gain") -> DataFrame:
@@ -81,11 +83,33 @@ def weekly(issues: DataFrame, date: str = "issue_date") -> DataFrame:
     return issues.crossJoin(F.broadcast(last)).filter(F.dayofweek(date) == F.dayofweek("last")).drop("last")
 
 
-def nearest_earlier(issues: DataFrame, key: str, date: str, vector: str) -> DataFrame:
-    """Each item's most similar item of an earlier issue: key, cos, other. Items without an earlier issue are left out. Archives are some hundred items."""
-    old = issues.select(F.col(key).alias("other"), F.col(date).alias("before"), F.col(vector).alias("w"))
-    met = issues.join(F.broadcast(old), F.col("before") < F.col(date))
-    return met.select(key, "other", V.cosine(F.col(vector), F.col("w")).alias("cos")).groupBy(key).agg(F.max("cos").alias("cos"), F.min_by("other", F.struct(-F.col("cos"), "other")).alias("other"))
+def nearest_earlier(issues: DataFrame, key: str, date: str, vector: str, block: int = BLOCK) -> DataFrame:
+    """Each item's most similar item of an earlier issue: key, cos, other (the smallest of equals). Items without an earlier issue, a date or a vector are left out.
+
+    Items are cut into blocks by a hash of the key; each pair of blocks is one matrix product in one task, whose memory is two blocks.
+    """
+    rows = issues.select(F.col(key).alias("id"), F.col(date).alias("date"), F.col(vector).cast("array<double>").alias("v")).filter("date IS NOT NULL AND v IS NOT NULL")
+    size = max(1, -(-rows.count() // block))
+    own, every = F.pmod(F.xxhash64("id"), F.lit(size)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    later, earlier = rows.select("id", "date", "v", own.alias("i"), every.alias("j")), rows.select(F.col("id").alias("other"), F.col("date").alias("before"), F.col("v").alias("w"), every.alias("i"), own.alias("j"))
+    kind = dict(rows.dtypes)["id"]
+
+    def nearest(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"id": a.column("id").slice(0, 0), "cos": pa.array([], pa.float64()), "other": a.column("id").slice(0, 0)})
+        order = np.argsort(np.array(b.column("other").to_pylist()), kind="stable")  # argmax takes the first of equals
+        x, y = (np.array(t.to_pylist(), float) for t in (a.column("v"), b.column("w")))
+        x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-10
+        y /= np.linalg.norm(y, axis=1, keepdims=True) + 1e-10
+        _, days = np.unique(np.array([*a.column("date").to_pylist(), *b.column("before").to_pylist()]), return_inverse=True)
+        cos = np.where(days[len(x) :][order][None, :] < days[: len(x)][:, None], x @ y[order].T, -np.inf)
+        best = cos.argmax(axis=1)
+        most = cos[np.arange(len(x)), best]
+        some = np.flatnonzero(most > -np.inf)
+        return pa.table({"id": a.column("id").take(pa.array(some)), "cos": pa.array(most[some]), "other": b.column("other").take(pa.array(order[best[some]]))})
+
+    found = later.groupBy("i", "j").cogroup(earlier.groupBy("i", "j")).applyInArrow(nearest, f"id {kind}, cos double, other {kind}")
+    return found.groupBy(F.col("id").alias(key)).agg(F.max("cos").alias("cos"), F.min_by("other", F.struct(-F.col("cos"), "other")).alias("other"))
 
 
 def repeat_share(issues: DataFrame, key: str, date: str, vector: str, threshold: float) -> DataFrame:

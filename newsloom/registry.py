@@ -655,14 +655,18 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles with vectors are grouped into stories per language, scored by coverage, scale and novelty, and the best of each bucket are taken."""
+    """Articles with vectors are grouped into stories per language, scored by coverage, scale and novelty, and the best of each bucket are taken.
+
+    The archive are the vectors of the first of twelve issue days, dealt by id as in the other queries; it grows with the table.
+    """
+    archived = F.pmod(F.col("id"), F.lit(12)) == 0
     e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     a = e.join(_t(spark, sf_dir, "documents"), F.col("id") == F.col("doc_id")).join(_t(spark, sf_dir, "labels"), "doc_id", "left").select("id", "embedding", "text", "source", "lang", (F.lit(1) + F.col("quality") * 2 + F.col("toxic") * 2).cast("int").alias("grade"))
-    grouped = cluster.cluster(a.filter("id >= 100"), COSINE, bucket="lang")
-    archive = e.filter("id < 100")
+    grouped = cluster.cluster(a.filter(~archived), COSINE, bucket="lang")
+    archive = e.filter(archived)
     stories = cluster.stories(grouped)
     facts = grouped.filter("source <> ''").groupBy("leader").agg(F.countDistinct("source").alias("outlets"), F.first("lang").alias("bucket")).join(scoring.story_scale(grouped, "leader", "source", "grade"), "leader", "left").join(stories, "leader")
-    near = cluster.max_cosine(e, archive).select(F.col("id").alias("representative"), F.col("cos").alias("max_cosine"))
+    near = cluster.max_cosine(e.filter(~archived), archive).select(F.col("id").alias("representative"), F.col("cos").alias("max_cosine"))
     scored = scoring.importance(facts.join(near, "representative").withColumnRenamed("representative", "id"), ["bucket"], "id")
     best = topk.quota_topk(scoring.ranked(scored, ["bucket"], "id"), {"en": 7, "de": 7, "fr": 6, "es": 6})
     return best.select("bucket", "id", "n_versions", "outlets", _r("importance").alias("importance"), "rank")

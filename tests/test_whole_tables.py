@@ -2,7 +2,10 @@
 
 import re
 
+import numpy as np
+
 from newsloom import registry
+from newsloom.operators import cluster, metrics
 
 
 def test_parse_issue_keeps_whole_texts(spark, tmp_path):
@@ -11,3 +14,30 @@ def test_parse_issue_keeps_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     (got,) = registry.QUERIES["parse_issue"](spark, str(tmp_path)).collect()
     assert got["title"] == re.sub(r"\s+", " ", user).strip() and got["summary"] == reply.strip()
+
+
+def test_nearest_earlier_works_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    v, days = rng.integers(-3, 4, (60, 4)).astype(float), rng.integers(1, 9, 60)
+    v[:, 3] = 1
+    issues = spark.createDataFrame([(i, f"2026-01-{days[i]:02}", v[i].tolist()) for i in range(60)], "id long, day string, e array<double>")
+    near = metrics.nearest_earlier(issues.selectExpr("id", "date(day) AS d", "e"), "id", "d", "e", block=13)
+    assert "NestedLoop" not in near._jdf.queryExecution().toString()
+    unit = v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-10)
+    cos = np.where(days[None, :] < days[:, None], unit @ unit.T, -2)
+    got = {r["id"]: (r["cos"], r["other"]) for r in near.collect()}
+    assert set(got) == {i for i in range(60) if days[i] > days.min()}
+    assert all(abs(c - cos[i].max()) < 1e-9 and abs(cos[i, o] - c) < 1e-9 for i, (c, o) in got.items())
+
+
+def test_the_archive_of_rank_stories_grows(spark, data, monkeypatch):
+    sizes, whole = [], cluster.max_cosine
+
+    def counted(rows, archive, *more, **named):
+        sizes.append((rows.count(), archive.count()))
+        return whole(rows, archive, *more, **named)
+
+    monkeypatch.setattr(cluster, "max_cosine", counted)
+    registry.QUERIES["rank_stories"](spark, data)
+    ids = [r["vec_id"] for r in spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id").collect()]
+    assert sizes == [(sum(i % 12 > 0 for i in ids), sum(i % 12 == 0 for i in ids))]
