@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -18,15 +19,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 SALTS = 128
 #: Python functions work on slices of about this many bytes of text.
 SLICE_BYTES = 1 << 20
-#: Rows of an Arrow batch at most: texts are long, and a batch is held by the JVM and by Python at once.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch at most: texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's limit of rows in an Arrow batch, where it is higher."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Lowers the session's limits of rows and bytes in an Arrow batch, where they are higher."""
+    for name, most in (("Records", BATCH_ROWS), ("Bytes", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.max{name}PerBatch"
+        now = spark.conf.get(name).rstrip("bB")
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,9 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
+    """The folder that driver and executors share; one of our own only where a local session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="newsloom-")
@@ -95,7 +100,8 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-# Word hashing. A word's hash is a polynomial over its bytes modulo 2**64, mixed; equal for equal words everywhere.
+# Word hashing. A word's bytes are taken by eight, each eight mixed together with their place, and the sums mixed again:
+# no arithmetic on the word's letters alone makes two words equal. Equal for equal words everywhere.
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -125,6 +131,26 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each span of bytes, which must not be empty."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    sizes = ends - starts
+    left = (8 - np.minimum(sizes, 8)).astype(np.uint64) * np.uint64(8)
+    hashes = mix((eights[starts] << left) + sizes.astype(np.uint64))
+    long = np.flatnonzero(sizes > 8)
+    if len(long):
+        number = (sizes[long] - 1) >> 3  # eights behind the first
+        first = np.cumsum(number) - number
+        place = np.arange(number.sum()) - np.repeat(first, number) + 1
+        at = np.repeat(starts[long], number) + 8 * place
+        short = 8 - np.minimum(np.repeat(ends[long], number) - at, 8)
+        more = mix(mix(eights[at] << (short * 8).astype(np.uint64)) + place.astype(np.uint64) * _BASE)
+        hashes[long] = mix(hashes[long] + np.add.reduceat(more, first))
+    return hashes
+
+
 def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words of the texts in order, and for each text the number of its words."""
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
@@ -135,10 +161,7 @@ def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.
     before[0] = True
     before[1:] = space[:-1]
     starts, ends = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
-    up, down = _powers_to(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    hashes = span_hashes(data, starts, ends)
     limits = np.cumsum([0, *(len(t) + 1 for t in texts)])
     return hashes, np.diff(np.searchsorted(starts, limits))
 
