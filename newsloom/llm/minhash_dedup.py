@@ -6,15 +6,16 @@ zeros (6 bits) and the 10 mantissa bits behind them: 2 bytes instead of 8. Empty
 filled one (the same probing order everywhere), so that small sets match with the probability of their similarity too.
 
 1. Documents with equal sets form a class; from here on classes alone are compared, whatever a class's size.
-2. Bands of `rows` registers put classes into buckets. A bucket gives pairs in proportion to its size: each member
-   with the bucket's first member in a hashed order; buckets of up to four give all their pairs. Then rounds follow: in a
-   bucket that still holds several components, each member outside the largest is held against all members of others by
-   estimates, block by block; its best partners become pairs, and when they give no new link, all likely ones do, so
-   that no bucket is capped or left out.
+2. Bands of `rows` registers put classes into buckets. Buckets of up to four give all their pairs, larger ones each
+   member with the bucket's hub, the member with the most copies: pairs in proportion to the bucket's size.
 3. Pairs whose Jaccard estimate, corrected for chance collisions of compressed registers, is far below the threshold go.
 4. The rest are confirmed on their full sets, computed again from the whole texts of the documents concerned alone
    (a bounded Bloom filter of their ids finds them in the second scan, so that texts do not shuffle).
 5. Components of confirmed links spread the smallest label by rounds of joins, materialised in the shared folder.
+6. In a larger bucket that still holds several components, the members outside the largest are stragglers. The stragglers
+   of one component, from all its buckets, are held once against all its members in these buckets and against each other,
+   block by block: estimates first, then full sets. Only links that join two components leave a task, a spanning forest
+   of what it saw, so that the output follows the members and not the pairs; no bucket is capped or left out.
 
 Null and empty texts have empty sets and are linked with nothing. With fewer words than a shingle the whole sequence is
 the one shingle. Repeated rows are copies like others. A null doc_id counts as larger than any other; a component of
@@ -37,9 +38,8 @@ from . import exact_dedup
 BANDS, ROWS, MANTISSA = 30, 6, 10
 #: Pairs whose estimate is so far below the threshold are not confirmed: over six standard errors with 180 registers.
 MARGIN = 0.2
-#: In buckets with several components left, pairs are told by the estimate: over three standard errors below the threshold.
-OPEN_MARGIN = 0.1
-SMALL, BLOCK, BEST = 4, 1024, 2
+#: Buckets of up to so many members give all pairs. Of larger ones, blocks hold so many members and shingles (8 MB) at most.
+SMALL, BLOCK, BLOCK_SHINGLES = 4, 2048, 1 << 20
 
 
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,63 +149,31 @@ def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    return rows.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def _first_pairs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs of classes that share a bucket, in proportion to the buckets' sizes; and the members of buckets of more than four."""
-    members = classes.select("name", F.explode("bands").alias("bucket"))
-    place = F.struct(F.xxhash64("name").alias("o"), "name")
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
-    here = C.materialize(members.join(C.materialize(buckets), "bucket"))  # with both sides from tables, a hot bucket can be split
-    pairs = here.select(F.col("name").alias("a"), F.col("first.name").alias("b"))
+    members = classes.select("name", F.explode("bands").alias("bucket"), "size")
+    place = F.struct((-F.col("size")).alias("s"), F.xxhash64("name").alias("o"), "name")
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select("bucket", "n", F.col("first.name").alias("hub"))
+    here = C.materialize(members.drop("size").join(C.materialize(buckets), "bucket"))  # with both sides from tables, a hot bucket can be split
+    pairs = here.select(F.col("name").alias("a"), F.col("hub").alias("b"))
     few = here.filter((F.col("n") > 2) & (F.col("n") <= SMALL)).groupBy("bucket").agg(F.array_sort(F.collect_list("name")).alias("names"))
     rest = few.select(F.explode(F.expr("flatten(transform(names, (x, i) -> transform(slice(names, i + 2, size(names)), y -> struct(x AS a, y AS b))))")).alias("p"))
-    return _pairs(pairs.unionByName(rest.select("p.a", "p.b"))), here.filter(F.col("n") > SMALL).select("bucket", "name", "n")
+    both = pairs.unionByName(rest.select("p.a", "p.b")).filter("a <> b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), here.filter(F.col("n") > SMALL).select("bucket", "name")
 
 
-def _open_pairs(busy: DataFrame, labels: DataFrame, classes: DataFrame, low: float, most: int | None) -> DataFrame | None:
-    """Pairs across components in buckets that still hold several; None if no bucket does.
-
-    Each member outside its bucket's largest component is held, by estimates, against all members of other components: in blocks of
-    BLOCK by BLOCK members, so that a task's memory does not grow with the bucket, and no pair leaves its task but those whose estimate reaches `low`
-    (with `most`: but the best so many of a member and block).
-    """
-    members = busy.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
-    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("k"))
+def _sets_of(names: DataFrame, classes: DataFrame, docs: DataFrame, width: int, bloom_size: dict) -> DataFrame:
+    """name and shingles of the classes named, from a scan of the texts of one document each."""
     watch = Observation()
-    tops = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1").select("bucket", "top")
-    tops = C.materialize(tops.observe(watch, F.count("*").alias("n")))
-    if not watch.get["n"]:
-        return None
-    here = members.join(tops, "bucket").join(classes.select("name", "regs", "n_shingles"), "name")
-    here = here.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("at", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
-    every, cols = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), ["bucket", "name", "label", "regs", "n_shingles"]
-    right = here.select(*cols, every.alias("i"), F.col("at").alias("j"), F.lit(False).alias("left"))
-    left = here.filter("label <> top").select(*cols, F.col("at").alias("i"), every.alias("j"), F.lit(True).alias("left"))
+    wanted = C.materialize(names.distinct().join(classes.select("name", "doc_id"), "name").observe(watch, F.count("*").alias("n")))
+    bloom = exact_dedup.build(wanted.select(F.xxhash64("doc_id").alias("key")), watch.get["n"], repeated=False, **bloom_size)
+    sets = docs.filter(bloom.probe(F.xxhash64("doc_id"))).select("text").mapInArrow(_sets(width), "name binary, shingles binary")
+    sets = sets.join(wanted.select("name"), "name", "left_semi")
+    return C.materialize(sets.groupBy("name").agg(F.first("shingles").alias("shingles")), "none")
 
-    def compare(table: pa.Table) -> pa.Table:
-        names, labels = (np.array(table.column(c).to_pylist(), object) for c in ("name", "label"))
-        _, codes = np.unique(labels, return_inverse=True)
-        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(len(names), -1)
-        n, side = table.column("n_shingles").to_numpy(), table.column("left").to_numpy()
-        others, a, b = np.flatnonzero(~side), [], []
-        for i in np.flatnonzero(side):
-            mine = others[codes[others] != codes[i]]
-            est = estimates(np.broadcast_to(regs[i], (len(mine), regs.shape[1])), regs[mine], np.full(len(mine), n[i]), n[mine])
-            good = np.flatnonzero(est >= low)
-            if most is not None and len(good) > most:
-                good = good[np.argpartition(-est[good], most)[:most]]
-            a.extend([names[i]] * len(good))
-            b.extend(names[mine[good]])
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return _pairs(right.unionByName(left).groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary"))
-
-
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, threshold: int, bloom_size: dict) -> DataFrame:
-    """Those of the pairs that are confirmed on their full sets."""
+
+def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, threshold: int, bloom_size: dict) -> DataFrame | None:
+    """Those of the pairs that are confirmed on their full sets; None where there is none to confirm."""
     low = threshold / 100 - MARGIN
 
     def near(a: pd.Series, b: pd.Series, n: pd.Series, k: pd.Series) -> pd.Series:
@@ -217,13 +185,8 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, t
     watch = Observation()
     likely = C.materialize(likely.filter(F.pandas_udf(near, "boolean")("regs_a", "regs_b", "n_a", "n_b")).select("a", "b").observe(watch, F.count("*").alias("n")))
     if not watch.get["n"]:
-        return likely
-    watch = Observation()
-    wanted = C.materialize(likely.select(F.explode(F.array("a", "b")).alias("name")).distinct().join(classes.select("name", "doc_id"), "name").observe(watch, F.count("*").alias("n")))
-    bloom = exact_dedup.build(wanted.select(F.xxhash64("doc_id").alias("key")), watch.get["n"], repeated=False, **bloom_size)
-    sets = docs.filter(bloom.probe(F.xxhash64("doc_id"))).select("text").mapInArrow(_sets(width), "name binary, shingles binary")
-    sets = sets.join(wanted.select("name"), "name", "left_semi")
-    sets = C.materialize(sets.groupBy("name").agg(F.first("shingles").alias("shingles")), "none")
+        return None
+    sets = _sets_of(likely.select(F.explode(F.array("a", "b")).alias("name")), classes, docs, width, bloom_size)
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,6 +201,98 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, t
     return C.materialize(joined.select("a", "b", "left", "right").mapInArrow(confirmed, "a binary, b binary"))
 
 
+def overlaps(left: np.ndarray, left_sizes: np.ndarray, right: np.ndarray, right_sizes: np.ndarray) -> np.ndarray:
+    """How many shingles each set on the left shares with each on the right, exactly; sets one after another, distinct within each."""
+    n, k = len(left_sizes), len(right_sizes)
+    counts = np.zeros((n, k), np.float32)
+    distinct, code = np.unique(np.concatenate([left, right]), return_inverse=True)
+    row, col = np.repeat(np.arange(n), left_sizes), np.repeat(np.arange(k), right_sizes)
+    lcode, rcode = code[: len(left)], code[len(left) :]
+    nl, nr = np.bincount(lcode, minlength=len(distinct)), np.bincount(rcode, minlength=len(distinct))
+    frequent = nl * nr * 32 >= n * k  # these by products of matrices, the others pair by pair
+    number = np.flatnonzero(frequent)
+    place = np.full(len(distinct), -1)
+    place[number] = np.arange(len(number))
+    for at in range(0, len(number), 512):
+        a, b = np.zeros((n, 512), np.float32), np.zeros((k, 512), np.float32)
+        for matrix, codes, owner in ((a, lcode, row), (b, rcode, col)):
+            p = place[codes] - at
+            here = (p >= 0) & (p < 512)
+            matrix[owner[here], p[here]] = 1
+        counts += a @ b.T
+    l, r = ~frequent[lcode] & (nr[lcode] > 0), ~frequent[rcode]
+    lcode, row, order = lcode[l], row[l], np.argsort(rcode[r], kind="stable")
+    col, first = col[r][order], np.searchsorted(rcode[r][order], lcode)
+    many, flat = nr[lcode], counts.ravel()
+    for part in np.split(np.arange(len(lcode)), np.flatnonzero(np.diff(np.cumsum(many) >> 21)) + 1):
+        each = many[part]
+        inside = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        np.add.at(flat, np.repeat(row[part], each) * k + col[np.repeat(first[part], each) + inside], 1)
+    return counts
+
+
+def joining(links: np.ndarray, row_labels: np.ndarray, col_labels: np.ndarray) -> list[tuple[int, int]]:
+    """Of a matrix of links between rows and columns, pairs of labels that span what the links join."""
+    label, at = np.unique(np.concatenate([row_labels, col_labels]), return_inverse=True)
+    root, out = label.copy(), []
+    rows, cols = at[: len(row_labels)], at[len(row_labels) :]
+    for i in np.flatnonzero(links.any(axis=1)).tolist():
+        met = np.unique(np.append(root[cols[links[i]]], root[rows[i]]))
+        if len(met) > 1:
+            out.extend((int(met[0]), int(x)) for x in met[1:])
+            root[np.isin(root, met)] = met[0]
+    return out
+
+
+def _straggler_links(busy: DataFrame, labels: DataFrame | None, classes: DataFrame, docs: DataFrame, width: int, threshold: int, registers_of: int, bloom_size: dict) -> DataFrame | None:
+    """Pairs of labels (a, b) that confirmed links join, for members of large buckets outside the largest component there; None if there are no such members."""
+    members = busy.withColumn("label", F.col("name")) if labels is None else busy.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
+    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("k"))
+    watch = Observation()
+    tops = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1").select("bucket", "top")
+    tops = C.materialize(tops.observe(watch, F.count("*").alias("n")))
+    if not watch.get["n"]:
+        return None
+    rows = C.materialize(members.join(tops, "bucket").select("top", "name", "label").distinct())
+    sets = _sets_of(rows.select("name"), classes, docs, width, bloom_size)
+    rows = C.materialize(rows.join(sets, "name"), "none")
+    shingles, straggler = (F.octet_length("shingles") / 8).cast("long"), F.col("label") != F.col("top")
+    blocks = lambda sum, n: F.ceil(F.greatest(sum / BLOCK_SHINGLES, n / BLOCK)).cast("int")
+    total = rows.groupBy("top").agg(blocks(F.sum(shingles), F.count("*")).alias("right"), blocks(F.sum(F.when(straggler, shingles)), F.count_if(straggler)).alias("left")).filter("left > 0")
+    here = rows.join(C.materialize(total), "top")
+    every, own = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)), lambda n: F.pmod(F.xxhash64("name"), F.col(n)).cast("int")
+    cols = ["top", "name", "label", "shingles"]
+    one = here.select(*cols, every("left").alias("i"), own("right").alias("j"), F.lit(False).alias("straggler"))
+    other = here.filter(straggler).select(*cols, own("left").alias("i"), every("right").alias("j"), F.lit(True).alias("straggler"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = table.column("straggler").to_numpy()
+        names, codes = np.unique(np.array(table.column("label").to_pylist(), object), return_inverse=True)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        parts = []
+        for at in (np.flatnonzero(side), np.flatnonzero(~side)):
+            n = np.array([len(sets[i]) for i in at.tolist()], np.int64)
+            flat = np.concatenate([sets[i] for i in at.tolist()]) if len(at) else np.zeros(0, np.uint64)
+            parts.append((at, n, flat))
+        (left, n, a), (right, k, b) = parts
+        found: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            p, q = registers(a, n, registers_of), registers(b, k, registers_of)
+            likely = np.zeros((len(left), len(right)), bool)
+            for i in range(len(left)):
+                other = np.flatnonzero((codes[right] != codes[left[i]]) & (100 * np.minimum(n[i], k) >= threshold * np.maximum(n[i], k)))
+                if len(other):
+                    likely[i, other] = estimates(p[i : i + 1], q[other], n[i], k[other]) >= threshold / 100 - MARGIN
+            some, cols = np.flatnonzero(likely.any(axis=1)), np.flatnonzero(likely.any(axis=0))
+            if len(some):
+                shared = overlaps(a[np.repeat(np.isin(np.arange(len(n)), some), n)], n[some], b[np.repeat(np.isin(np.arange(len(k)), cols), k)], k[cols])
+                union = n[some][:, None] + k[cols][None, :] - shared
+                found = joining(likely[np.ix_(some, cols)] & (100 * shared.astype(np.float64) >= threshold * union), codes[left[some]], codes[right[cols]])
+        return pa.table({c: pa.array([names[x[i]] for x in found], pa.binary()) for i, c in enumerate("ab")})
+
+    return C.materialize(one.unionByName(other).groupBy("top", "i", "j").applyInArrow(compare, "a binary, b binary"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """name, label of every name in links (a, b): the smallest name that links reach. Rounds of two joins until nothing changes."""
     both = C.materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
@@ -264,24 +319,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = int(np.ceil(threshold / max(1, 100 - threshold)))  # a smaller set is linked with equal ones alone
     able = classes.filter(F.col("n_shingles") >= least)
     first, busy = _first_pairs(able)
-    confirm = lambda pairs: _linked(pairs, able, docs, width, threshold, bloom_size)
-    links, labels = confirm(first), None
-    best: int | None = BEST  # the best partners of each member first; when they give no new link, all likely ones
-    if not links.isEmpty():
-        labels = components(links)
-        while (pairs := _open_pairs(busy, labels, able, threshold / 100 - OPEN_MARGIN, best)) is not None:
-            new = confirm(pairs)
-            if new.isEmpty() and best is None:
-                break
-            if new.isEmpty():
-                best = None
-                continue
-            links = links.unionByName(new)
-            labels = components(links)
-            if best is None:
-                break  # all likely pairs of what was apart have been held against each other
+    links = _linked(first, able, docs, width, threshold, bloom_size)
+    labels = None if links is None else components(links)
+    more = _straggler_links(busy, labels, able, docs, width, threshold, bands * rows, bloom_size)
     node = classes.select("name", "doc_id", "size")
     node = node.withColumn("label", F.col("name")) if labels is None else node.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
+    if more is not None and not more.isEmpty():
+        joined = components(more).select(F.col("name").alias("label"), F.col("label").alias("root"))
+        node = node.join(joined, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
     label_ids = C.materialize(node.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.sum("size").alias("rows")))
     named = C.materialize(node.join(label_ids, "label").select("name", "component_id", F.col("rows").alias("size")))
     out = some.select("doc_id", "n_shingles", "name").join(named, "name")

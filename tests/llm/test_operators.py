@@ -69,6 +69,24 @@ def test_word_hashes():
     assert counts.tolist() == [0, 2, 4, 0]
     a, b, b2, a2, b3, c = hashes.tolist()
     assert a == a2 and b == b2 == b3 and len({a, b, c}) == 3
+    r = random.Random(3)
+    words = ["".join(r.choice("abc") for _ in range(r.randint(1, 40))) for _ in range(3000)]
+    found = defaultdict(set)
+    for w, h in zip(words, C.word_hashes([" ".join(words).encode()])[0].tolist()):
+        found[w].add(h)
+    assert all(len(x) == 1 for x in found.values()) and len(set.union(*found.values())) == len(found)
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n)), "".join("ba"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_collide_in_polynomials_stay_apart(spark):
+    """The Thue-Morse word and its complement agree under any polynomial over bytes modulo 2**64."""
+    a, b = thue_morse(2048)
+    assert len(set(C.word_hashes([f"{a} {b}".encode()])[0].tolist())) == 2
+    rows = [(1, f"{a} {a} x {a} {a}", "en", "s", 0), (2, f"{b} {b} x {b} {b}", "en", "s", 0)]
+    assert all(r["kept"] for r in minhash_dedup.near_groups(spark.createDataFrame(rows, KINDS), width=4).collect())
 
 
 def test_exact_dedup(docs, none):
@@ -203,6 +221,57 @@ def test_minhash_large_group_and_empty(spark, none):
     assert minhash_dedup.near_groups(none).count() == 0 and minhash_dedup.drop_near_copies(none).count() == 0
 
 
+def test_minhash_stragglers(spark, monkeypatch):
+    """A template too far from most of its copies: links run between copies, across blocks."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 7)
+    base, rows = prose(160, 21), []
+    for k in range(12):
+        own = edited(base, 6, 100 + k)  # families around the template, linked within and partly across
+        rows += [(100 * k + i, edited(own, i % 6, 1000 + 50 * k + i), "en", "s", 0) for i in range(12)]
+    got = minhash_dedup.near_groups(spark.createDataFrame(rows, KINDS), width=4).collect()
+    want = components([r[:2] for r in rows], 4, 80)
+    assert 1 < len({c for _, _, c in want}) < len(rows)
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+
+
+def test_overlaps_are_exact_and_forests_span():
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 2**63, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(common, rng.integers(0, 60)), rng.integers(0, 400, rng.integers(1, 80)).astype(np.uint64)])) for _ in range(70)]
+    left, right = sets[:30], sets[30:]
+    flat = lambda x: (np.concatenate(x), np.array(list(map(len, x))))
+    got = minhash_dedup.overlaps(*flat(left), *flat(right))
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    links, rows, cols = rng.random((30, 40)) < 0.03, rng.integers(0, 25, 30), rng.integers(0, 25, 40)
+
+    def classes(pairs):
+        at = list(range(25))
+        for a, b in pairs:
+            x, y = at[a], at[b]
+            at = [x if z == y else z for z in at]
+        return [[at[i] == at[j] for j in range(25)] for i in range(25)]
+
+    spanning = minhash_dedup.joining(links, rows, cols)
+    assert len(spanning) < 25 and classes(spanning) == classes([(rows[i], cols[j]) for i, j in zip(*np.nonzero(links))])
+
+
+def test_minhash_recall_on_a_whole_table(spark):
+    """Ids divisible by 20 against all rows of sf0.01, by brute force: what is linked shares a component."""
+    table = C.table(spark, "/root/testdata/sf0.01", "documents")
+    component = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_groups(table, width=4).collect()}
+    sets, holders = {}, defaultdict(list)
+    for i, t in rows_of(table):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} or ({tuple(w)} if w else set())
+        for x in sets[i]:
+            holders[x].append(i)
+    linked = []
+    for i in (i for i in sets if i % 20 == 0):
+        shared = Counter(j for x in sets[i] for j in holders[x] if j != i)
+        linked += [(i, j) for j, n in shared.items() if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n)]
+    assert linked and all(component[i] == component[j] for i, j in linked)
+
+
 def test_drop_near_copies(docs):
     groups = minhash_dedup.near_groups(docs).filter("doc_id IS NOT NULL").collect()
     kept = minhash_dedup.drop_near_copies(docs)
