@@ -14,7 +14,7 @@ columns are kept by `drop_exact_copies` and ignored by `duplicate_groups`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,21 +43,30 @@ class Filter:
 
     def probe(self, key: Column) -> Column:
         """True where the key may be in the filter."""
-        bits, shared = self.bits, self.shared
+        test = self.tester()
 
         def maybe(keys: pd.Series) -> pd.Series:
-            packed, at = shared.value, _positions(keys.to_numpy(), bits)
-            return pd.Series(((packed[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0))
+            return pd.Series(test(keys.to_numpy()))
 
         return F.pandas_udf(maybe, "boolean")(key)
 
+    def tester(self) -> Callable[[np.ndarray], np.ndarray]:
+        """What `probe` does, for functions that have their keys in an array."""
+        bits, shared = self.bits, self.shared
+
+        def test(keys: np.ndarray) -> np.ndarray:
+            packed, at = shared.value, _positions(keys, bits)
+            return ((packed[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
+
+        return test
+
 
 def size_bits(rows: int, bits_per_row: int, max_bits: int) -> int:
     return min(max_bits, max(SEGMENT, 1 << int(rows * bits_per_row - 1).bit_length()))
 
 
-def build(keys: DataFrame, rows: int, repeated: bool, bits_per_row: int = 16, max_bits: int = 1 << 28) -> Filter:
-    """A filter of the one bigint column of keys: of all of them, or of the positions that two or more rows hit.
+def build(keys: DataFrame, rows: int, repeated: bool, bits_per_row: int = 16, max_bits: int = 1 << 28, of: Callable[[pa.RecordBatch], Iterator[np.ndarray]] | None = None) -> Filter:
+    """A filter of the one bigint column of keys (or what `of` makes of its batches): of all of them, or of the positions that two or more rows hit.
 
     Tasks send the positions they hit, by segments of 65,536; a merging task owns whole segments and streams over
     what it is sent, so that its memory is a few bytes a position.
@@ -77,10 +86,11 @@ def build(keys: DataFrame, rows: int, repeated: bool, bits_per_row: int = 16, ma
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         for batch in batches:
-            keys.append(batch.column(name).to_numpy(zero_copy_only=False))
-            if sum(map(len, keys)) >= FLUSH:
-                yield segments(keys)
-                keys = []
+            for some in of(batch) if of else [batch.column(name).to_numpy(zero_copy_only=False)]:
+                keys.append(some)
+                if sum(map(len, keys)) >= FLUSH:
+                    yield segments(keys)
+                    keys = []
         if sum(map(len, keys)):
             yield segments(keys)
 
@@ -101,8 +111,9 @@ def build(keys: DataFrame, rows: int, repeated: bool, bits_per_row: int = 16, ma
 
     found = keys.mapInArrow(local, "segment int, hit binary, more binary").repartition(max(1, min(tasks, bits // SEGMENT)), "segment").mapInArrow(merge, "segment int, bits binary")
     packed = np.zeros(bits // 8, np.uint8)
-    for row in found.toLocalIterator():  # bits / 8 bytes at most
-        packed[row.segment * SEGMENT // 8 : (row.segment + 1) * SEGMENT // 8] = np.frombuffer(row.bits, np.uint8)
+    for batch in found.toArrow().to_batches():  # bits / 8 bytes at most
+        for segment, some in zip(batch.column("segment").to_pylist(), batch.column("bits")):
+            packed[segment * SEGMENT // 8 : (segment + 1) * SEGMENT // 8] = np.frombuffer(some.as_buffer(), np.uint8)
     return Filter(spark, bits, packed)
 
 

@@ -326,6 +326,37 @@ def test_substring_runs_by_brute_force(spark):
         assert got[i] == ("".join(t[a:c] for k, (a, _, c) in enumerate(parts) if k not in gone[i]) if gone[i] else t)
 
 
+def units(t):
+    return len(re.findall(r"[\u3400-\u9fff]|[^\s\u3400-\u9fff。！？，、；：．｡､]+", t))
+
+
+def test_parts_by_plain_python():
+    """Cuts, lengths and hashes of parts against a loop over characters."""
+    r = random.Random(8)
+    alphabet = ["a", "Bc", "def", "x" * 20, "é", "字", "𠀀", "😀", "。", "，", ".", ",", ";", "…", " ", " ", " ", "  ", "\n", "\t", "\u00a0", "ท"]
+    texts = ["", " ", "\n\n", "a", " a. b\n", "𠀀𠀀a😀b。。c ，d"] + ["".join(r.choice(alphabet) for _ in range(r.randint(0, 120))) for _ in range(300)]
+    p = substring_dedup.parts_of(texts)
+    assert p.number.tolist() == [len(substring_dedup.sentences(t)) for t in texts]
+    single = re.compile(r"[\u0e00-\u0eff\u3400-\u9fff\U00020000-\U0002ffff]")
+    unit = re.compile(r"(?:[\u0e00-\u0eff\u3400-\u9fff\U00020000-\U0002ffff]|[^\x20\x09-\x0D\u0e00-\u0eff\u3400-\u9fff\U00020000-\U0002ffff。，]+|[。，])[。，]*")
+    named = defaultdict(set)
+    at = 0
+    for t in texts:
+        cut = substring_dedup.sentences(t)
+        assert t[: cut[0][0]].strip(" \t\n") + "".join(t[a:c] for a, _, c in cut) == t.lstrip(" \t\n") if cut else not t.strip(" \t\n")
+        ends = {b for _, b, _ in cut}
+        found = list(unit.finditer(t))
+        must = {m.end() for m, k in zip(found, found[1:]) if m[0][-1] in "。，" or k.start() > m.end() and (m[0][-1] in ".,;…" or "\n" in t[m.end() : k.start()])}
+        assert must <= ends and ends <= {m.end() for m in found}
+        for a, b, _ in cut:
+            words = [m[0] for m in unit.finditer(t, a, b)]
+            n = sum(bool(single.match(w)) for w in words)
+            assert len(words) <= 16 and p.words[at] == len(words) - n + (n + 1) // 2
+            named[tuple(w.replace("B", "b") for w in words)].add((int(p.hashes[at]), int(p.seconds[at])))
+            at += 1
+    assert all(len(x) == 1 for x in named.values()) and len(set.union(*named.values())) == len(named)
+
+
 @pytest.mark.parametrize("kind", ["stops", "no stops", "full-width"])
 def test_any_fifty_repeated_words_are_found(spark, kind):
     r = random.Random(11)
@@ -344,7 +375,7 @@ def test_any_fifty_repeated_words_are_found(spark, kind):
     assert all(got[i]["text"] == t if i % 2 == 0 else got[i]["n_removed"] >= 2 and len(got[i]["text"]) < len(t) for i, t, *_ in rows)
     for i, t, *_ in rows:
         cut = substring_dedup.sentences(t)
-        assert "".join(t[a:c] for a, _, c in cut) == t and all(len(substring_dedup.UNIT.findall(t[a:b])) <= 16 and t[b:c].strip() == "" for a, b, c in cut)
+        assert "".join(t[a:c] for a, _, c in cut) == t and all(units(t[a:b]) <= 16 and t[b:c].strip() == "" for a, b, c in cut)
 
 
 def test_packing(spark, docs, none):
