@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,13 +51,56 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Names of the tables that each open `scratch` holds, the innermost last.
+_scopes: list[list[str]] = []
+
+
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._newsloom_path = path
+    return out
+
+
+def delete_tables(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """At its end, deletes the tables that `materialize` wrote inside, but for those given to what it yields: what follows may only read these."""
+    kept: list[str] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table._newsloom_path)
+        return table
+
+    _scopes.append([])
+    try:
+        yield keep
+    finally:
+        made = _scopes.pop()
+        if _scopes:
+            _scopes[-1].extend(kept)
+        delete_tables(spark, [p for p in made if p not in kept])
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths of the tables written inside that are left at its end; they are not deleted."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        _scopes.pop()
 
 
 def free(name: str, *frames: DataFrame) -> str:

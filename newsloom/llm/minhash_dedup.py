@@ -154,7 +154,8 @@ def _first_pairs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = classes.select("name", F.explode("bands").alias("bucket"), "size")
     place = F.struct((-F.col("size")).alias("s"), F.xxhash64("name").alias("o"), "name")
     buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select("bucket", "n", F.col("first.name").alias("hub"))
-    here = C.materialize(members.drop("size").join(C.materialize(buckets), "bucket"))  # with both sides from tables, a hot bucket can be split
+    with C.scratch(classes.sparkSession) as keep:
+        here = keep(C.materialize(members.drop("size").join(C.materialize(buckets), "bucket")))  # with both sides from tables, a hot bucket can be split
     pairs = here.select(F.col("name").alias("a"), F.col("hub").alias("b"))
     few = here.filter((F.col("n") > 2) & (F.col("n") <= SMALL)).groupBy("bucket").agg(F.array_sort(F.collect_list("name")).alias("names"))
     rest = few.select(F.explode(F.expr("flatten(transform(names, (x, i) -> transform(slice(names, i + 2, size(names)), y -> struct(x AS a, y AS b))))")).alias("p"))
@@ -165,11 +166,12 @@ def _first_pairs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _sets_of(names: DataFrame, classes: DataFrame, docs: DataFrame, width: int, bloom_size: dict) -> DataFrame:
     """name and shingles of the classes named, from a scan of the texts of one document each."""
     watch = Observation()
-    wanted = C.materialize(names.distinct().join(classes.select("name", "doc_id"), "name").observe(watch, F.count("*").alias("n")))
-    bloom = exact_dedup.build(wanted.select(F.xxhash64("doc_id").alias("key")), watch.get["n"], repeated=False, **bloom_size)
-    sets = docs.filter(bloom.probe(F.xxhash64("doc_id"))).select("text").mapInArrow(_sets(width), "name binary, shingles binary")
-    sets = sets.join(wanted.select("name"), "name", "left_semi")
-    return C.materialize(sets.groupBy("name").agg(F.first("shingles").alias("shingles")), "none")
+    with C.scratch(docs.sparkSession) as keep:
+        wanted = C.materialize(names.distinct().join(classes.select("name", "doc_id"), "name").observe(watch, F.count("*").alias("n")))
+        bloom = exact_dedup.build(wanted.select(F.xxhash64("doc_id").alias("key")), watch.get["n"], repeated=False, **bloom_size)
+        sets = docs.filter(bloom.probe(F.xxhash64("doc_id"))).select("text").mapInArrow(_sets(width), "name binary, shingles binary")
+        sets = sets.join(wanted.select("name"), "name", "left_semi")
+        return keep(C.materialize(sets.groupBy("name").agg(F.first("shingles").alias("shingles")), "none"))
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, threshold: int, bloom_size: dict) -> DataFrame | None:
@@ -295,40 +297,50 @@ def _straggler_links(busy: DataFrame, labels: DataFrame | None, classes: DataFra
 
 def components(links: DataFrame) -> DataFrame:
     """name, label of every name in links (a, b): the smallest name that links reach. Rounds of two joins until nothing changes."""
-    both = C.materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = both.groupBy(F.col("a").alias("name")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    labels = C.materialize(labels)
-    while True:
-        seen = both.join(labels.withColumnRenamed("name", "b"), "b").groupBy(F.col("a").alias("name")).agg(F.min("label").alias("near"))
-        step = labels.join(seen, "name").select("name", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = step.join(step.select(F.col("name").alias("label"), F.col("label").alias("far")), "label")
-        watch = Observation()
-        moved = F.least("label", "far") < F.col("old")
-        labels = C.materialize(jump.select("name", F.least("label", "far").alias("label"), moved.alias("moved")).observe(watch, F.count_if("moved").alias("moved")))
-        labels = labels.select("name", "label")
-        if not watch.get["moved"]:
-            return labels
+    spark = links.sparkSession
+    with C.scratch(spark) as keep:
+        both = C.materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        labels = C.materialize(both.groupBy(F.col("a").alias("name")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+        while True:
+            before = labels
+            seen = both.join(labels.withColumnRenamed("name", "b"), "b").groupBy(F.col("a").alias("name")).agg(F.min("label").alias("near"))
+            step = labels.join(seen, "name").select("name", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+            jump = step.join(step.select(F.col("name").alias("label"), F.col("label").alias("far")), "label")
+            watch = Observation()
+            moved = F.least("label", "far") < F.col("old")
+            labels = C.materialize(jump.select("name", F.least("label", "far").alias("label"), moved.alias("moved")).observe(watch, F.count_if("moved").alias("moved")))
+            if not watch.get["moved"]:
+                return keep(before).select("name", "label")
+
+
+def _alone(spark: SparkSession, f: Callable[[], DataFrame | None]) -> DataFrame | None:
+    """The table that f writes last; those before it are deleted."""
+    with C.scratch(spark) as keep:
+        found = f()
+        return found if found is None else keep(found)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80, bands: int = BANDS, rows: int = ROWS, **bloom_size: int) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, and `name` (of its set; null: empty), `size` (rows of its component)."""
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), C.text_or_empty(f"`{text_col}`").alias("text"))
-    sketched = C.materialize(docs.mapInArrow(_sketch(width, bands, rows), "doc_id long, n_shingles long, name binary, regs binary, bands array<long>"))
-    some = sketched.filter("name IS NOT NULL")
-    classes = C.materialize(some.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("size"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"), F.first("bands").alias("bands")))
-    least = int(np.ceil(threshold / max(1, 100 - threshold)))  # a smaller set is linked with equal ones alone
-    able = classes.filter(F.col("n_shingles") >= least)
-    first, busy = _first_pairs(able)
-    links = _linked(first, able, docs, width, threshold, bloom_size)
-    labels = None if links is None else components(links)
-    more = _straggler_links(busy, labels, able, docs, width, threshold, bands * rows, bloom_size)
-    node = classes.select("name", "doc_id", "size")
-    node = node.withColumn("label", F.col("name")) if labels is None else node.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
-    if more is not None and not more.isEmpty():
-        joined = components(more).select(F.col("name").alias("label"), F.col("label").alias("root"))
-        node = node.join(joined, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
-    label_ids = C.materialize(node.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.sum("size").alias("rows")))
-    named = C.materialize(node.join(label_ids, "label").select("name", "component_id", F.col("rows").alias("size")))
+    spark = docs.sparkSession
+    with C.scratch(spark) as keep:
+        sketched = keep(C.materialize(docs.mapInArrow(_sketch(width, bands, rows), "doc_id long, n_shingles long, name binary, regs binary, bands array<long>")))
+        some = sketched.filter("name IS NOT NULL")
+        classes = C.materialize(some.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("size"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"), F.first("bands").alias("bands")))
+        least = int(np.ceil(threshold / max(1, 100 - threshold)))  # a smaller set is linked with equal ones alone
+        able = classes.filter(F.col("n_shingles") >= least)
+        first, busy = _first_pairs(able)
+        links = _alone(spark, lambda: _linked(first, able, docs, width, threshold, bloom_size))
+        labels = None if links is None else components(links)
+        more = _alone(spark, lambda: _straggler_links(busy, labels, able, docs, width, threshold, bands * rows, bloom_size))
+        node = classes.select("name", "doc_id", "size")
+        node = node.withColumn("label", F.col("name")) if labels is None else node.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
+        if more is not None and not more.isEmpty():
+            joined = components(more).select(F.col("name").alias("label"), F.col("label").alias("root"))
+            node = node.join(joined, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
+        label_ids = C.materialize(node.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.sum("size").alias("rows")))
+        named = keep(C.materialize(node.join(label_ids, "label").select("name", "component_id", F.col("rows").alias("size"))))
     out = some.select("doc_id", "n_shingles", "name").join(named, "name")
     empty = sketched.filter("name IS NULL").select("doc_id", "n_shingles", "name", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("size"))
     cols = ["doc_id", "n_shingles", "component_id", "name", "size"]
@@ -338,8 +350,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params: int) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each group those with the smallest id. Rows without an id stay, and rows of an id that stays anywhere."""
     key, maybe = C.free("__id", docs), C.free("__maybe", docs)
-    gone = near_groups(docs, id_col, text_col, **params).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(key)).agg(F.max("kept").alias("stays")).filter("NOT stays").select(key)
-    gone = C.materialize(gone)
+    with C.scratch(docs.sparkSession) as keep:
+        gone = near_groups(docs, id_col, text_col, **params).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(key)).agg(F.max("kept").alias("stays")).filter("NOT stays").select(key)
+        gone = keep(C.materialize(gone))
     bloom = exact_dedup.build(gone.select(F.xxhash64(key).alias("key")), gone.count(), repeated=False)
     flagged = docs.withColumn(maybe, bloom.probe(F.xxhash64(F.col(f"`{id_col}`").cast("long"))))
     met = flagged.filter(F.col(maybe)).join(gone, F.col(f"`{id_col}`") == F.col(key), "left_anti")

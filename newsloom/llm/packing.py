@@ -96,6 +96,8 @@ def places(ids: list[np.ndarray]) -> np.ndarray:
 def _encoded(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoding(path)
+        if bpe.n_vocab > 1 << 16:
+            raise ValueError(f"{path} has {bpe.n_vocab} ids; pieces hold ids of 16 bits")
         for batch in batches:
             for part in C.slices(batch, "text"):
                 ids = [np.append(bpe.encode_to_numpy(x or "", allowed_special="all"), END).astype(np.uint16) for x in part.column("text").to_pylist()]

@@ -84,8 +84,9 @@ def _doc(id_col: str, text_col: str) -> Column:
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **params: float) -> DataFrame:
     """The rows of docs that are kept, with all their columns, and their texts without the removed lines."""
     key, kept, gone = (C.free(n, docs) for n in ("__doc", "__kept", "__gone"))
-    touched = quality(docs, id_col, text_col, host_col, **params).filter("NOT kept OR n_removed_lines > 0")
-    touched = C.materialize(touched.select(F.col("__doc").alias(key), F.col("kept").alias(kept), F.col("__gone").alias(gone)).dropDuplicates([key]))
+    with C.scratch(docs.sparkSession) as keep:
+        touched = quality(docs, id_col, text_col, host_col, **params).filter("NOT kept OR n_removed_lines > 0")
+        touched = keep(C.materialize(touched.select(F.col("__doc").alias(key), F.col("kept").alias(kept), F.col("__gone").alias(gone)).dropDuplicates([key])))
     met = docs.withColumn(key, _doc(id_col, text_col)).join(touched, key, "left").filter(F.coalesce(kept, F.lit(True)))
     text = _without(F.col(f"`{text_col}`"), F.coalesce(gone, F.array().cast("array<bigint>"))).alias(text_col)
     return met.select(*(text if c == text_col else F.col(f"`{c}`") for c in docs.columns))

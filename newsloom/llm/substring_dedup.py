@@ -178,15 +178,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     order = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1))
     keyed = docs.select(C.text_or_empty(f"`{text_col}`").alias("text"), order.alias("o"), doc.alias("doc"))
     lengths = (least, min_words, long_words)
-    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bloom = exact_dedup.build(keyed.select("text"), size // RUN_BYTES, repeated=True, of=_run_hashes(lengths), **bloom_size)
-    found = C.materialize(keyed.mapInArrow(_possible_runs(lengths, bloom), "h long, g long, o long, doc long, first int, last int"))
-    place = F.struct("o", "doc", "first")
-    again = found.groupBy("h", "g").agg(F.min(place).alias("least"), F.count("*").alias("n")).filter("n > 1").select("h", "g", "least")
-    again = C.materialize(again)
-    spans = found.join(again, ["h", "g"]).filter(place != F.col("least")).select("o", "doc", F.struct("first", "last").alias("span")).distinct()
     key, own_order, maybe, cut = (C.free(n, docs) for n in ("__doc", "__order", "__maybe", "__spans"))
-    spans = C.materialize(spans.groupBy(F.col("o").alias(own_order), F.col("doc").alias(key)).agg(F.sort_array(F.collect_list("span")).alias(cut)))  # of one document
+    with C.scratch(docs.sparkSession) as keep:
+        size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        bloom = exact_dedup.build(keyed.select("text"), size // RUN_BYTES, repeated=True, of=_run_hashes(lengths), **bloom_size)
+        found = C.materialize(keyed.mapInArrow(_possible_runs(lengths, bloom), "h long, g long, o long, doc long, first int, last int"))
+        place = F.struct("o", "doc", "first")
+        again = found.groupBy("h", "g").agg(F.min(place).alias("least"), F.count("*").alias("n")).filter("n > 1").select("h", "g", "least")
+        again = C.materialize(again)
+        spans = found.join(again, ["h", "g"]).filter(place != F.col("least")).select("o", "doc", F.struct("first", "last").alias("span")).distinct()
+        spans = keep(C.materialize(spans.groupBy(F.col("o").alias(own_order), F.col("doc").alias(key)).agg(F.sort_array(F.collect_list("span")).alias(cut))))  # of one document
     bloom = exact_dedup.build(spans.select(key), spans.count(), repeated=False, **bloom_size)
     flagged = docs.withColumn(key, doc).withColumn(own_order, order).withColumn(maybe, bloom.probe(F.col(key)))
     own = [F.col(f"`{c}`") for c in docs.columns]
