@@ -7,11 +7,14 @@
 5. packing: the documents' tokens in sequences along the Hilbert curve, a row a piece.
 
 Nulls, empty and very long texts, ties, repeated rows and empty tables are treated as each operator says; stages 1 to 4
-keep extra columns.
+keep extra columns. When a stage begins, the tables that its predecessors left in the shared folder are deleted, but for those it reads.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +44,28 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.crc32_of(packing.pack(docs))
 
 
-STAGES = [("quality rules", quality), ("exact dedup", exact), ("minhash near-dedup", near), ("substring dedup", substrings), ("packing", pack)]
+#: By application, the tables that earlier stages left in the shared folder.
+_left: dict[str, list[str]] = {}
+
+
+def cleaned(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, which deletes before it begins what earlier stages left, but for the tables that its docs read: their results have been written by then."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        left = _left.pop(spark.sparkContext.applicationId, [])
+        files = docs.inputFiles() if left else []
+        read = [p for p in left if any(p.rpartition("/")[2] in f for f in files)]
+        C.delete_tables(spark, [p for p in left if p not in read])
+        with C.noted() as made:
+            out = stage(spark, docs, sf_dir)
+        _left[spark.sparkContext.applicationId] = [*read, *made]
+        return out
+
+    return run_stage
+
+
+STAGES = [(name, cleaned(f)) for name, f in (("quality rules", quality), ("exact dedup", exact), ("minhash near-dedup", near), ("substring dedup", substrings), ("packing", pack))]
 #: SQL has no HyperMinHash, sentence runs or tokens; tests hold each stage against brute force.
 ORACLE_SQL = None
 
@@ -51,5 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = C.materialize(docs)
+            with C.noted() as made:
+                docs = C.materialize(docs)
+            _left.setdefault(spark.sparkContext.applicationId, []).extend(made)
     return docs
