@@ -92,7 +92,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.withColumn("turns", turns).withColumn("loss_text", loss)
 
 
-def digest(formatted: DataFrame) -> DataFrame:
+def summaries(formatted: DataFrame) -> DataFrame:
     read = read_back(formatted)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
@@ -106,7 +106,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = C.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string"))
     events = rows.select("conv_id", F.col("turn").alias("seq"), "turn", F.lit("delta").alias("op"), "role", "text")
-    return digest(render(fold_events(events)))
+    return summaries(render(fold_events(events)))
 
 
 QUERIES = {"op6_chat_format": op6_chat_format}
