@@ -1,4 +1,4 @@
-"""The digest: a week's articles to ranked stories, picks with reserves, and what is told of them."""
+"""The weekly plan: a week's articles to ranked stories, picks with reserves, and what is told of them."""
 
 from __future__ import annotations
 

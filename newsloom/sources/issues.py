@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,11 +25,11 @@ def parse_items(lines: DataFrame, issue: str = "issue", pos: str = "pos", line:
     return items.select(issue, part(1).cast("int").alias("number"), part(2).alias("date"), part(3).alias("title"), "summary", "urls")
 
 
-def latest_files(names: DataFrame, name: str = "name") -> DataFrame:
-    """date and name of the last file of each date: digest_<date>.docx, or the one with the largest -n."""
-    rows = names.filter(F.col(name).rlike(r"^digest_\d{4}-\d{2}-\d{2}(-\d+)?\.docx$"))
-    rank = F.coalesce(F.regexp_extract(name, r"^digest_\d{4}-\d{2}-\d{2}-(\d+)\.docx$", 1).try_cast("int"), F.lit(0))
-    return rows.groupBy(F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2})", 1).alias("date")).agg(F.max_by(name, rank).alias("name"))
+def latest_files(names: DataFrame, name: str = "name", prefix: str = "issue", suffix: str = ".docx") -> DataFrame:
+    """date and name of the last file of each date: <prefix>_<date><suffix>, or the one with the largest -n."""
+    pattern = rf"^{re.escape(prefix)}_(\d{{4}}-\d{{2}}-\d{{2}})(?:-(\d+))?{re.escape(suffix)}$"
+    rank = F.coalesce(F.regexp_extract(name, pattern, 2).try_cast("int"), F.lit(0))
+    return names.filter(F.col(name).rlike(pattern)).groupBy(F.regexp_extract(name, pattern, 1).alias("date")).agg(F.max_by(name, rank).alias("name"))
 
 
 def to_embed(items: DataFrame, cache: DataFrame, stamp: str = "stamp") -> DataFrame:
@@ -57,17 +59,17 @@ def item_lines(items: DataFrame, number: Column, date: Column, title: Column, su
     return items.select(number.alias("number"), F.concat_ws("\n", head, summary, F.concat(F.lit("URL: "), F.array_join(urls, "; "))).alias("text"))
 
 
-def free_name(taken: list[str], date: str) -> str:
+def free_name(taken: list[str], date: str, prefix: str = "issue") -> str:
     """A file name for the date that is not taken."""
-    name, n = f"digest_{date}.txt", 1
+    name, n = f"{prefix}_{date}.txt", 1
     while name in taken:
         n += 1
-        name = f"digest_{date}-{n}.txt"
+        name = f"{prefix}_{date}-{n}.txt"
     return name
 
 
-def write_digest(spark: SparkSession, lines: DataFrame, path: str) -> None:
-    """The items in order, as one text file (a digest has some twenty items)."""
+def write_issue(lines: DataFrame, path: str) -> None:
+    """The items in order, as one text file (an issue has some twenty items)."""
     lines.orderBy("number").select("text").coalesce(1).write.text(path)
 
 

@@ -1,3 +1,5 @@
+import random
+import re
 from datetime import date
 
 import pytest
@@ -66,7 +68,8 @@ def test_text_rules(spark):
     assert one(spark, T.third_script(F.lit("этап نظم β"))) == "نظم"
     assert one(spark, T.numbers_not_in_source(F.lit("89 457 и 12 и 2026 и 12345"), F.lit("89.457"))) == ["12345"]
     assert one(spark, T.consonant_skeleton(F.lit("ЮК"))) == one(spark, T.consonant_skeleton(F.lit("YÖK"))) == "yk"
-    assert one(spark, T.phonetic_skeleton(F.lit("kontenjan"))) == "kontenjan"
+    assert one(spark, T.phonetic_skeleton(F.lit("kontenjan"))) == one(spark, T.phonetic_skeleton(F.lit("контенжан"))) == "kontenjan"
+    assert one(spark, T.without_marks(F.lit("Görevli ﬁ ğ"))) == "Gorevli fi g"
     assert one(spark, T.strip_thinking(F.lit("<think>a</think> b"))) == "b" and one(spark, T.strip_fence(F.lit("```json\n[1]\n```"))) == "[1]"
 
 
@@ -79,9 +82,36 @@ GOOD = "Министерство образования Турции объяв
     ("Увеличен контенжан стипендиальной программы", GOOD, "bu kontenjan arttı", "copied word"), ("Турция объявила новую программу", GOOD * 20, "", "too long"),
 ])
 def test_guards(spark, title, summary, source, fault):
-    assert one(spark, T.summary_fault(F.col("t"), F.col("s"), F.col("o")), t=title, s=summary, o=source) == fault
+    known = T.frequency_of({w: 4.0 for w in GOOD.lower().replace(".", "").split()})
+    assert one(spark, T.summary_fault(F.col("t"), F.col("s"), F.col("o"), known), t=title, s=summary, o=source) == fault
 
 
+@pytest.mark.parametrize("text, source, copied, short, quote", [
+    ("это контенжана новое", "bu kontenjan arttı", "контенжана", None, None), ("это Контенжан", "bu kontenjan arttı", None, None, None), ("слово", "", None, None, None),
+    ("совет ЮК решил", "YÖK karar verdi", None, "ЮК", None), ("орган Меб", "MEB", None, "Меб", None), ("надпись «Bahçe Görevli» тут", "Bahçe  Görevlisi", None, None, "Bahçe Görevli"),
+    ("надпись «Bahçe  Görevlisi» тут", "x bahçe\ngörevlisi y", None, None, None), ("«по-русски» и «a.b (c)»", "aXb (c)", None, None, "a.b (c)"), ("новый вакыф", "Vakıf ve vakıf", "вакыф", None, None),
+])
+def test_source_rules(spark, text, source, copied, short, quote):
+    rare = T.frequency_of({w: 5.0 for w in "это новое слово совет решил орган надпись тут новый и".split()})
+    got = lambda f, *a: one(spark, f(F.col("t"), F.col("s"), *a), t=text, s=source)
+    assert (got(T.first_copied_word, rare), got(T.first_transliterated_abbreviation, rare), got(T.first_quote_not_in_source)) == (copied, short, quote)
+
+
+GLOSSARY = [("istanbul", "Стамбул", "ru"), ("hrazdan", "Раздан", "ru"), ("ankara", "Анкара", "ru"), ("yök", "YÖK", "keep")]
+
+
+@pytest.mark.parametrize("text, source, word", [
+    ("в университетах Стамбула и Истанбула", "Istanbul ve Ankara", "Истанбула"), ("в Стамбуле и Анкаре", "Istanbul ve Ankara", None), ("Истанбулский совет", "istanbul", "Истанбулский"),
+    ("в Храздане", "hrazdan", "Храздане"), ("в Храздане", "hrazdanli", None), ("", "istanbul", None), ("Истанбул", None, None),
+])
+def test_exonyms(spark, text, source, word):
+    glossary = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(n).alias("name"), F.lit(m).alias("mode")) for k, n, m in GLOSSARY))
+    assert one(spark, T.first_wrong_exonym(F.col("t"), F.col("s"), glossary), t=text, s=source) == word
+    fault = T.summary_fault(F.concat(F.lit("Новость дня города "), F.col("t")), F.lit("Это случилось."), F.col("s"), glossary=glossary, no_predicate=lambda t: t.contains("нет"), bad_agreement=lambda t: F.lit(False))
+    assert one(spark, fault, t=text, s=source) == ("wrong exonym" if word else None)
+    block = one(spark, T.glossary_block(F.col("s"), glossary), s=source)
+    assert block == "\n".join(f"{k} — {n}" for k, n, _ in GLOSSARY if k in (source or "").lower().split())
+
 @pytest.mark.parametrize("text, day, expect", [("29 Temmuz'da", "2026-07-29", True), ("29 Temmuz 2025", "2026-07-29", False), ("26 июля был дождь", "2026-07-26", True), ("1 August 2026", "2026-08-01", True), ("05.08.2026", "2026-08-05", True), ("2026-08-05", "2026-08-06", False), ("3 MAYIS", "2026-05-03", True), (None, "2026-05-03", False)])
 def test_mentioned(spark, text, day, expect):
     assert one(spark, D.mentioned(F.lit(text), F.lit(day).cast("date"))) is expect
@@ -148,6 +178,49 @@ def test_selection(spark):
     rows = selection.select_sentences(v, "story", "url", "text", 1000).collect()
     assert sum(r["story"] == 1 for r in rows) == 1 and sum(r["story"] == 2 for r in rows) == 2 and not any(r["story"] == 3 for r in rows)
     assert selection.prompts(spark.createDataFrame(rows)).count() == 2
+    glossary = F.array(F.struct(F.lit("анкары").alias("key"), F.lit("Анкара").alias("name"), F.lit("ru").alias("mode")))
+    with_names = {r["story"]: r["prompt"] for r in selection.prompts(spark.createDataFrame(rows), glossary).collect()}
+    assert with_names[2].startswith("анкары — Анкара\n\nSource: ") and with_names[1].startswith("Source: ")
+
+
+def shown(versions, budget):
+    """The rounds by brute force: each turn, of all candidates that may come next, the one that the rules name."""
+    words = lambda s: re.findall(r"[^\W_]+", s.lower())
+    runs = lambda s: {tuple(words(s)[i : i + 4]) for i in range(len(words(s)) - 3)}
+    found = []
+    for url, sentences in versions:
+        seen = set()
+        for pos, s in enumerate(sentences):
+            if not runs(s) or len(runs(s) & seen) <= 0.28 * len(runs(s)):
+                seen |= runs(s)
+                found.append((url, pos, s))
+    n, df = len(found), {}
+    for _, _, s in found:
+        for w in set(words(s)):
+            df[w] = df.get(w, 0) + 1
+    worth = lambda f: round(sum(df[w] / n * (1 - df[w] / (n + 1)) for w in set(words(f[2]))) / len(set(words(f[2]))) ** 0.5 * {0: 1.3, 1: 1.1}.get(f[1], 1.0), 9)
+    out, turn = [], 0
+    while True:
+        turn += 1
+        before = len(out)
+        for f in sorted(found, key=lambda f: (-worth(f), f[0], f[1])):
+            fresh = runs(f[2]) and len(runs(f[2]) & set().union(*(runs(x[2]) for x in out))) <= 0.28 * len(runs(f[2]))
+            if f not in out and sum(x[0] == f[0] for x in out) < turn and fresh and sum(len(x[2]) for x in out) + len(f[2]) <= budget:
+                out.append(f)
+        if len(out) == before:
+            return set(out)
+
+
+def test_selection_by_brute_force(spark):
+    r = random.Random(2)
+    vocabulary = [f"{a}{b}" for a in "бвгдж" for b in ("аба", "орон", "имик", "елез")]
+    pool = [" ".join(r.choice(vocabulary) for _ in range(r.randint(5, 12))) + "." for _ in range(30)]
+    stories = {k: [(f"u{i}", [r.choice(pool) for _ in range(r.randint(1, 7))]) for i in range(r.randint(1, 6))] for k in range(12)}
+    df = spark.createDataFrame([(k, u, " ".join(x)) for k, vs in stories.items() for u, x in vs], "story int, url string, text string")
+    got = {k: set() for k in stories}
+    for row in selection.select_sentences(df, "story", "url", "text", 300).collect():
+        got[row["story"]].add((row["url"], row["pos"], row["text"]))
+    assert got == {k: shown(vs, 300) for k, vs in stories.items()}
 
 
 def test_pages_and_issues(spark):
@@ -158,9 +231,9 @@ def test_pages_and_issues(spark):
     lines = spark.createDataFrame([("i", k, x) for k, x in enumerate(["Заголовок", "1. 15.08.2026 — Первый", "", "Текст.", "URL: http://a; http://b", "2. 16.08.2026 — Второй"])], "issue string, pos int, line string")
     got = {r["number"]: (r["date"], r["title"], r["summary"], r["urls"]) for r in issues.parse_items(lines).collect()}
     assert got == {1: ("15.08.2026", "Первый", "Текст.", ["http://a", "http://b"]), 2: ("16.08.2026", "Второй", "", [])}
-    names = spark.createDataFrame([("digest_2026-08-16.docx",), ("digest_2026-08-16-6.docx",), ("x",)], "name string")
-    assert [tuple(r) for r in issues.latest_files(names).collect()] == [("2026-08-16", "digest_2026-08-16-6.docx")]
-    assert issues.free_name(["digest_2026-01-01.txt"], "2026-01-01") == "digest_2026-01-01-2.txt"
+    names = spark.createDataFrame([("issue_2026-08-16.docx",), ("issue_2026-08-16-6.docx",), ("x",)], "name string")
+    assert [tuple(r) for r in issues.latest_files(names).collect()] == [("2026-08-16", "issue_2026-08-16-6.docx")]
+    assert issues.free_name(["issue_2026-01-01.txt"], "2026-01-01") == "issue_2026-01-01-2.txt"
 
 
 def test_adapters(spark):

@@ -4,12 +4,12 @@ from pyspark.sql import functions as F
 
 from newsloom.models import adapters, providers
 from newsloom.operators import journal, proximity
-from newsloom.plans import collect, digest
+from newsloom.plans import collect, weekly
 
 ARTICLE = "<html><head><title>{0}</title></head><body><article><p>{0} is the title of an article of the day. {1}</p></article></body></html>"
 
 
-def test_collect_and_digest(spark):
+def test_collect_and_rank(spark):
     cell = "1#Turkey#TU#TU##1#2#x#100"
     dump = spark.createDataFrame([("20260801000000", "s", f"http://h{i % 4}.com/{i}", "", "EDU,120", "", cell, "ali veli;ministry", "") for i in range(12)], "date string, source string, url string, v1t string, v2t string, v1l string, v2l string, v1p string, v1o string")
     body = lambda u: ARTICLE.format(f"Story {u[-1]}", f"Words of story {u[-1]} are written here. " * 20).encode() if not u.endswith("/11") else b"<p>short</p>"
@@ -19,10 +19,10 @@ def test_collect_and_digest(spark):
     assert len(state) == 12 and state["http://h3.com/11"] == "short" and "http://h0.com/0" not in {r["url"] for r in got.decided.collect()}
     assert set(state.values()) <= {"accepted", "rejected", "pending", "short"}
     rows = got.decided.select("id", "url", "text", "embedding", F.lit("TR").alias("bucket"), "entities", "scale")
-    ranked, versions = digest.rank(rows)
-    picked, reserve = digest.choose(ranked, {"TR": 3, "CA": 2, "SC": 1}, 5)
+    ranked, versions = weekly.rank(rows)
+    picked, reserve = weekly.choose(ranked, {"TR": 3, "CA": 2, "SC": 1}, 5)
     assert picked.count() == min(5, ranked.count()) and picked.join(reserve, "id").count() == 0
-    assert digest.prompts(picked, versions).count() == picked.count()
+    assert weekly.prompts(picked, versions).count() == picked.count()
 
 
 def test_providers(tmp_path):
