@@ -104,12 +104,13 @@ def fan_out(clustered: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def max_cosine(rows: DataFrame, archive: DataFrame, key: str = "id", vector: str = "embedding", archive_vector: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """Each row's largest cosine to the archive (-1 for an empty one): id, cos. Archive blocks are multiplied with rows batch by batch."""
-    size = max(1, -(-archive.count() // block))
+    """Each row's largest cosine to the archive (-1 for an empty one): id, cos. Each pair of a block of rows and one of the archive is one matrix product in one task."""
+    size, parts = max(1, -(-archive.count() // block)), max(1, -(-rows.count() // block))
     left = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     right = archive.select(F.col(archive_vector).cast("array<double>").alias("w"))
-    blocks = right.withColumn("at", F.pmod(F.xxhash64("w"), F.lit(size)).cast("int"))
-    dealt = left.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, size // 4))).cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    blocks = right.withColumn("at", F.pmod(F.xxhash64("w"), F.lit(size)).cast("int")).withColumn("part", every(parts))
+    dealt = left.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("at", every(size))
 
     def most(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
@@ -117,11 +118,10 @@ def max_cosine(rows: DataFrame, archive: DataFrame, key: str = "id", vector: str
         x, y = (np.array(t.column(c).to_pylist(), float) for t, c in ((a, "v"), (b, "w")))
         x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-10
         y /= np.linalg.norm(y, axis=1, keepdims=True) + 1e-10
-        best = np.concatenate([(x[i : i + block] @ y.T).max(axis=1) for i in range(0, len(x), block)])
-        return pa.table({"id": a.column("id"), "cos": pa.array(best)})
+        return pa.table({"id": a.column("id"), "cos": pa.array((x @ y.T).max(axis=1))})
 
     kind = dict(left.dtypes)["id"]
-    best = dealt.groupBy("at").cogroup(blocks.groupBy("at")).applyInArrow(most, f"id {kind}, cos double").groupBy("id").agg(F.max("cos").alias("cos"))
+    best = dealt.groupBy("part", "at").cogroup(blocks.groupBy("part", "at")).applyInArrow(most, f"id {kind}, cos double").groupBy("id").agg(F.max("cos").alias("cos"))
     return left.select("id").join(best, "id", "left").select("id", F.coalesce("cos", F.lit(-1.0)).alias("cos"))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .cluster import BLOCK
 
+from ..plans.storage import materialize
+
 
 def ndcg(gains: DataFrame, k: int, group: list[str], rank: str = "rank", gain: str = "gain") -> DataFrame:
     """nDCG at k with linear gains; null where the ideal is 0."""
@@ -146,3 +148,22 @@ def ladder(judged: DataFrame) -> DataFrame:
     """Selectivity of ever stricter rules over rows with themes (number), share and top (whether the country is the most mentioned)."""
     theme, share = F.col("themes") >= 1, F.col("share") >= 0.3
     return judged.agg(F.count("*").alias("a_rows"), F.count_if(theme).alias("b_theme"), F.count_if(theme & share).alias("c_share"), F.count_if(theme & F.col("top")).alias("d_top"), F.count_if((F.col("themes") >= 2) & share).alias("e_two_themes"), F.count_if((F.col("themes") >= 2) & share & F.col("top")).alias("f_all"))
+
+
+def shared_sets(sets: DataFrame, least: int, key: str = "id", items: str = "items") -> DataFrame:
+    """Pairs of sets that share at least `least` items: a < b (the smallest keys of the classes of equal sets), both, a_rows and b_rows (the classes' sizes).
+
+    Exact, by prefixes: two sets with so many items in common share one of each set's items but its least - 1 most frequent
+    ones, so that common items make no pairs; candidates are counted on whole sets. Items that one class alone has are left out first.
+    """
+    named = sets.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(items)).alias("items")).filter(F.size("items") >= least)
+    classes = materialize(named.groupBy(F.sha2(F.concat_ws("\x00", "items"), 256).alias("class")).agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("items").alias("items")).drop("class"))
+    every = classes.select("id", F.explode("items").alias("item"))
+    frequent = every.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = every.join(frequent, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("by"))  # of one set
+    shared = materialize(ranked.filter(F.size("by") >= least).select("id", F.transform("by", lambda x: x["item"]).alias("items")))
+    index = shared.select("id", F.explode(F.slice("items", 1, F.size("items") - least + 1)).alias("item"))
+    pairs = index.withColumnRenamed("id", "a").join(index.withColumnRenamed("id", "b"), "item").filter("a < b").select("a", "b").distinct()
+    side = lambda c: shared.join(classes.select("id", "n"), "id").select(F.col("id").alias(c), F.col("items").alias(f"{c}_items"), F.col("n").alias(f"{c}_rows"))
+    both = F.size(F.array_intersect("a_items", "b_items")).cast("long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", both.alias("both"), "a_rows", "b_rows").filter(F.col("both") >= least)

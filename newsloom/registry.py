@@ -17,6 +17,7 @@ from .functions import vectors as V
 from .functions import verdicts as J
 from .models import adapters, prefilter
 from .operators import cluster, journal, metrics, proximity, scoring, selection, topk
+from .plans import storage
 from .sources import dumps, issues, pages
 from .streaming import journal_stream
 
@@ -176,13 +177,13 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", F.size(w).cast("long").alias("n"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"))
 
 
-@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(substr(text, 1, 600), '[^\\x00-\\x7F]', ' ', 'g')), '[a-z0-9]+') AS ws FROM documents),
-    s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS s FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 4))
-    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) >= 20""")
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g')), '[a-z0-9]+') AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS s FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 4)),
+    c AS (SELECT min(doc_id) AS id, count(*) AS n, k FROM (SELECT doc_id, list(s ORDER BY s) AS k FROM s GROUP BY doc_id) GROUP BY k), e AS (SELECT id, n, unnest(k) AS s FROM c)
+    SELECT a.id AS a, b.id AS b, count(*) AS both, any_value(a.n) AS a_rows, any_value(b.n) AS b_rows FROM e a JOIN e b USING (s) WHERE a.id < b.id GROUP BY 1, 2 HAVING count(*) >= 20""")
 def shingle_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.explode(T.shingles(T.words(F.regexp_replace(F.substring("text", 1, 600), r"[^\x00-\x7F]", " ")))).alias("s"))
-    met = d.withColumnRenamed("doc_id", "a").join(d.withColumnRenamed("doc_id", "b"), "s").filter("a < b")
-    return met.groupBy("a", "b").agg(F.count("*").alias("both")).filter(F.col("both") >= 20)
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.shingles(T.words(F.regexp_replace("text", r"[^\x00-\x7F]", " "))).alias("items"))
+    return metrics.shared_sets(d, 20)
 
 
 @query("SELECT doc_id, round(CASE WHEN l = 0 THEN 0.0 ELSE c::DOUBLE / l END, 6) AS cyrillic, m AS symbols FROM (SELECT doc_id, len(regexp_extract_all(text, '\\pL')) AS l, len(regexp_extract_all(text, '[а-яёА-ЯЁ]')) AS c, len(regexp_extract_all(text, '[%*#]')) AS m FROM documents)")
@@ -190,10 +191,13 @@ def script_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", _r(T.cyrillic_share(F.col("text"))).alias("cyrillic"), F.regexp_count("text", F.lit("[%*#]")).cast("long").alias("symbols"))
 
 
+_FREQUENCY = {w: 6.0 for w in "и в не на что с по как это".split()}  # a caller's list is longer
+
+
 @query()
 def text_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("title"), F.max_by("text", "turn").alias("summary"), F.array_join(F.collect_list("text"), " ").alias("source"))
-    return c.select("conv_id", T.summary_fault(F.col("title"), F.col("summary"), F.col("source")).alias("fault"))
+    return c.select("conv_id", T.summary_fault(F.col("title"), F.col("summary"), F.col("source"), T.frequency_of(_FREQUENCY)).alias("fault"))
 
 
 @query("SELECT doc_id, list_filter(list_distinct(regexp_extract_all(text, '[0-9]{3,}')), lambda x: NOT regexp_matches(x, '^(19|20)..$')) = [] AS fine FROM (SELECT doc_id, regexp_replace(text, '[^0-9a-z]', 'a', 'g') AS text FROM documents)")
@@ -386,10 +390,11 @@ _FACTORS_SQL = f"""{_VERSIONS_SQL}, {_SCALE_SQL}, c AS (SELECT story, CAST(count
     r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY round(importance, 9) DESC, id) AS rank FROM i)"""
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str, one_scale: bool = False) -> DataFrame:
     v = _versions(spark, sf_dir)
     facts = v.groupBy("story").agg(F.countDistinct("source").alias("outlets"), scoring.entity_weight(F.countDistinct("lang")).alias("prominence")).join(scoring.story_scale(v, "story", "source", "grade"), "story", "left")
-    s = scoring.importance(facts.select(F.col("story").alias("id"), (F.col("story") % 4).alias("bucket"), "outlets", "prominence", "scale"), ["bucket"], "id")
+    facts = facts.select(F.col("story").alias("id"), (F.lit(0) if one_scale else F.col("story") % 4).alias("bucket"), "outlets", "prominence", "scale")
+    s = scoring.importance(facts, ["bucket"], "id")
     return scoring.ranked(s.withColumn("importance", F.round("importance", 9)), ["bucket"], "id")
 
 
@@ -416,9 +421,10 @@ def soft_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.soft_quota(_named_buckets(_scored(spark, sf_dir)), {"TR": (2, 9), "CA": (2, 4), "SC": (1, 3)}, 10, 0.4).select("id", "bucket")
 
 
-@query(f"WITH {_FACTORS_SQL} SELECT id FROM i ORDER BY round(importance, 9) DESC, id LIMIT 12")
+@query(f"WITH {_FACTORS_SQL.replace('(PARTITION BY bucket)', '()', 1)} SELECT id FROM i ORDER BY round(importance, 9) DESC, id LIMIT 12")
 def global_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.global_topk(_scored(spark, sf_dir), 12).select("id")
+    """One scale over all stories: normalisers are those of the whole, not of a bucket."""
+    return topk.global_topk(_scored(spark, sf_dir, one_scale=True), 12).select("id")
 
 
 @query(f"WITH {_FACTORS_SQL} SELECT id FROM r JOIN {_QUOTAS} USING (bucket) WHERE rank > quota UNION ALL SELECT id FROM r WHERE bucket = 3")
@@ -473,7 +479,6 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Vectors and clusters
 
 _COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
-_SMALL = 500  # clustering in SQL takes one step a row
 
 
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 5) AS cos FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id AND {_COS} >= {COSINE}")
@@ -501,19 +506,19 @@ def verdict_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.fan_out(_t(spark, sf_dir, "embeddings").withColumnRenamed("label", "leader"), v).select("vec_id", "verdict")
 
 
-@query(f"SELECT a.vec_id, round(greatest(0.0, least(1.0, (1 - max({_COS})) / 0.12)), 5) AS novelty, round(max({_COS}), 5) AS cos FROM embeddings a, embeddings b WHERE a.vec_id >= 100 AND b.vec_id < 100 GROUP BY a.vec_id")
+@query(f"SELECT a.vec_id, round(greatest(0.0, least(1.0, (1 - max({_COS})) / 0.12)), 5) AS novelty, round(max({_COS}), 5) AS cos FROM embeddings a, embeddings b WHERE a.vec_id % 12 > 0 AND b.vec_id % 12 = 0 GROUP BY a.vec_id")
 def novelty_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _t(spark, sf_dir, "embeddings")
-    near = cluster.max_cosine(e.filter("vec_id >= 100"), e.filter("vec_id < 100"), "vec_id")
+    near = cluster.max_cosine(e.filter("vec_id % 12 > 0"), e.filter("vec_id % 12 = 0"), "vec_id")
     return near.select(F.col("id").alias("vec_id"), F.round(scoring.novelty(F.col("cos")), 5).alias("novelty"), F.round("cos", 5).alias("cos"))
 
 
-_ISSUES = "(SELECT vec_id, DATE '2026-01-04' + CAST(vec_id % 12 AS INTEGER) AS d, embedding FROM embeddings WHERE vec_id < 400)"
+_ISSUES = "(SELECT vec_id, DATE '2026-01-04' + CAST(vec_id % 12 AS INTEGER) AS d, embedding FROM embeddings)"
 
 
 @query(f"SELECT count(*) AS compared, round(avg(CASE WHEN cos >= {COSINE} THEN 1.0 ELSE 0.0 END), 6) AS share FROM (SELECT a.vec_id, max({_COS}) AS cos FROM {_ISSUES} a JOIN {_ISSUES} b ON b.d < a.d GROUP BY a.vec_id)")
 def repeat_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = _t(spark, sf_dir, "embeddings").filter("vec_id < 400").withColumn("d", F.date_add(F.lit("2026-01-04").cast("date"), (F.col("vec_id") % 12).cast("int")))
+    i = _t(spark, sf_dir, "embeddings").withColumn("d", F.date_add(F.lit("2026-01-04").cast("date"), (F.col("vec_id") % 12).cast("int")))
     return metrics.repeat_share(i, "vec_id", "d", "embedding", COSINE).withColumn("share", _r("share"))
 
 
@@ -632,23 +637,21 @@ def selectivity_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams
 
 
-def _stream(spark: SparkSession, sf_dir: str, plan: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """The stream's result over all that is there, from a table in memory that the query names."""
+def _stream(spark: SparkSession, sf_dir: str, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The stream's result over all that is there, written in the shared folder."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "events.parquet").load(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    run = plan(stream).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    return journal_stream.complete(plan(stream), storage.shared_folder(spark))
 
 
 @query("SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS tick, count(*) AS n FROM events GROUP BY 1")
 def stream_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream(spark, sf_dir, journal_stream.ticks, "newsloom_ticks").withColumn("tick", F.col("tick").cast("timestamp_ntz"))
+    return _stream(spark, sf_dir, journal_stream.ticks).withColumn("tick", F.col("tick").cast("timestamp_ntz"))
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, user_id, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream(spark, sf_dir, lambda s: journal_stream.daily_counts(s, "user_id"), "newsloom_daily").withColumn("day", F.col("day").cast("string"))
+    return _stream(spark, sf_dir, lambda s: journal_stream.daily_counts(s, "user_id")).withColumn("day", F.col("day").cast("string"))
 
 
 # The flagship: stories of each bucket by importance, up to the quota

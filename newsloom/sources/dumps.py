@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 COLUMNS = {1: "date", 3: "source", 4: "url", 7: "v1t", 8: "v2t", 9: "v1l", 10: "v2l", 11: "v1p", 13: "v1o"}
 WIDTH = 27
 STREAMS = {"": "{tick}.gkg.csv.zip", "translation": "{tick}.translation.gkg.csv.zip"}
+#: Files are handed to Python in batches of about so many bytes.
+ZIPPED_BYTES = 16 << 20
 SCHEMA = ", ".join(f"{c} string" for c in COLUMNS.values())
 
 
@@ -26,14 +28,18 @@ def ticks(spark: SparkSession, now: Column, hours: int = 24) -> DataFrame:
 
 
 def read_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Unpacked dumps; lines with another number of fields are dropped. `tick` and `stream` come from the file's name."""
-    raw = ", ".join(f"c{i} string" for i in range(WIDTH))
-    rows = spark.read.csv(path, sep="\t", schema=raw, mode="DROPMALFORMED", quote="").select(*(F.col(f"c{i}").alias(n) for i, n in COLUMNS.items()), F.input_file_name().alias("file"))
-    return _named(rows)
+    """Unpacked dumps; lines with too many fields are dropped, missing and empty ones are null. `tick` and `stream` come from the file's name."""
+    lines = spark.read.text(path).select(F.split(F.regexp_replace("value", r"\r$", ""), "\t", -1).alias("c"), F.input_file_name().alias("file"))
+    cell = lambda i: F.nullif(F.get("c", F.lit(i)), F.lit(""))
+    return _named(lines.filter(F.size("c") <= WIDTH).select(*(cell(i).alias(n) for i, n in COLUMNS.items()), "file"))
 
 
 def read_zipped(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Zipped dumps, a file a task at a time; unreadable files and lines with too many fields give no rows."""
+    """Zipped dumps, a file at a time (batches of files are bounded by bytes, which lowers the session's limit); unreadable files and lines with too many fields give no rows, missing and empty fields are null."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(limit).rstrip("bB")
+    if not now.isdigit() or int(now) > ZIPPED_BYTES:
+        spark.conf.set(limit, str(ZIPPED_BYTES))
 
     def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

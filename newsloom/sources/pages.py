@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import settings as S
@@ -19,9 +19,12 @@ VOID = {"br", "img", "meta", "link", "input", "hr", "source", "wbr"}
 
 
 class _Reader(HTMLParser):
+    """Text outside noise. Open elements are kept on a stack; an end tag closes all that was opened since its start tag, so that elements left open (li, p) do no harm."""
+
     def __init__(self, inside: str | None):
         super().__init__(convert_charrefs=True)
-        self.inside, self.depth, self.noise, self.in_title = inside, 0, 0, False
+        self.inside = inside
+        self.open: list[tuple[str, bool]] = []  # tag, and whether it or one around it is noise
         self.text: list[str] = []
         self.title = ""
         self.date: str | None = None
@@ -32,28 +35,28 @@ class _Reader(HTMLParser):
             self.date = self.date or a.get("content")
         if tag == "time" and a.get("datetime"):
             self.date = self.date or a["datetime"]
-        if tag in VOID:
-            self.text.append("\n" if tag == "br" else "")
-            return
-        self.noise += tag in NOISE or "ad" in (a.get("class") or "").split()
-        if self.noise and tag not in NOISE and "ad" not in (a.get("class") or "").split():
-            self.noise += 1  # everything inside noise has to be closed too
-        self.depth += tag == self.inside
-        self.in_title = tag == "title"
         if tag in BREAKS:
             self.text.append("\n")
+        if tag not in VOID:
+            around = bool(self.open) and self.open[-1][1]
+            self.open.append((tag, around or tag in NOISE or "ad" in (a.get("class") or "").split()))
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.open.pop()
 
     def handle_endtag(self, tag: str) -> None:
-        self.noise = max(0, self.noise - 1) if self.noise else 0
-        self.depth -= tag == self.inside and self.depth > 0
-        self.in_title = False
         if tag in BREAKS:
             self.text.append("\n")
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
 
     def handle_data(self, data: str) -> None:
-        if self.in_title:
+        if self.open and self.open[-1][0] == "title":
             self.title += data
-        elif not self.noise and (self.inside is None or self.depth):
+        elif not (self.open and self.open[-1][1]) and (self.inside is None or any(t == self.inside for t, _ in self.open)):
             self.text.append(data)
 
 
@@ -118,11 +121,6 @@ def rescue(pages: DataFrame, *steps: DataFrame, least: int = S.MIN_TEXT_CHARS, u
     return out
 
 
-def browser_budget(requests: DataFrame, budget: int, order: list[Column], run: str = "run") -> DataFrame:
-    """The first `budget` requests of a run, over all of its queries."""
-    return requests.withColumn("n", F.row_number().over(Window.partitionBy(run).orderBy(*order))).filter(F.col("n") <= budget).drop("n")
-
-
 def sift(pages: DataFrame) -> DataFrame:
     """pages (url, text, title) with `verdict` of the rules: short, non_event, or null for those to be judged."""
     short = F.char_length(F.coalesce("text", F.lit(""))) < S.MIN_TEXT_CHARS

@@ -227,6 +227,9 @@ def test_pages_and_issues(spark):
     article = "<html><head><title>Big &amp; news</title></head><body><nav>menu</nav><article><p>" + "Слово за слово. " * 40 + "</p></article></body></html>"
     text, title, _ = pages.extract(article)
     assert title == "Big & news" and "menu" not in text and len(text) > 300
+    body = "Слово за слово. " * 60
+    for page in (f"<nav><ul><li>a<li>b</ul></nav><p>{body}</p>", f"<div class=ad><p>x<p>y</div><header>h<br></header><article><p>{body}<p></article><footer>f", f"<aside><img src=a><p>n</aside></b><main>{body}</main>"):
+        assert pages.extract(f"<html><body>{page}</body></html>")[0] == body.strip()
     assert pages.extract("<title>Just a moment...</title><body>Checking your browser</body>")[0] is None
     lines = spark.createDataFrame([("i", k, x) for k, x in enumerate(["Заголовок", "1. 15.08.2026 — Первый", "", "Текст.", "URL: http://a; http://b", "2. 16.08.2026 — Второй"])], "issue string, pos int, line string")
     got = {r["number"]: (r["date"], r["title"], r["summary"], r["urls"]) for r in issues.parse_items(lines).collect()}

@@ -11,7 +11,8 @@ def test_against_sql(spark, data, duck, same_rows, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_runs(spark, data, name):
-    assert registry.QUERIES[name](spark, data).limit(5).count() >= 0
+    rows = registry.QUERIES[name](spark, data)
+    assert rows.count() > 0 and any(v is not None for r in rows.limit(5).collect() for v in r)
 
 
 def test_entry(spark):

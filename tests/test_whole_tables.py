@@ -41,3 +41,25 @@ def test_the_archive_of_rank_stories_grows(spark, data, monkeypatch):
     registry.QUERIES["rank_stories"](spark, data)
     ids = [r["vec_id"] for r in spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id").collect()]
     assert sizes == [(sum(i % 12 > 0 for i in ids), sum(i % 12 == 0 for i in ids))]
+
+
+def test_shared_sets_are_exact(spark):
+    rng = np.random.default_rng(9)
+    sets = [sorted({f"w{x}" for x in rng.zipf(1.3, rng.integers(0, 60)) if x < 90}) for _ in range(80)]
+    sets += sets[:10]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(sets)], "id long, items array<string>")
+    got = {(r["a"], r["b"]): (r["both"], r["a_rows"], r["b_rows"]) for r in metrics.shared_sets(df, 6).collect()}
+    rows = {tuple(x): [i for i, y in enumerate(sets) if y == x] for x in sets}
+    first = {ids[0]: (set(x), len(ids)) for x, ids in rows.items()}
+    want = {(a, b): (len(first[a][0] & first[b][0]), first[a][1], first[b][1]) for a in first for b in first if a < b and len(first[a][0] & first[b][0]) >= 6}
+    assert want and got == want
+
+
+def test_max_cosine_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.standard_normal((50, 5)), rng.standard_normal((40, 5))
+    rows = lambda v: spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(v)], "id int, embedding array<double>")
+    got = {r["id"]: r["cos"] for r in cluster.max_cosine(rows(x), rows(y), block=7).collect()}
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert np.allclose([got[i] for i in range(50)], (unit(x) @ unit(y).T).max(axis=1))
+    assert {r["cos"] for r in cluster.max_cosine(rows(x), rows(y).limit(0)).collect()} == {-1.0}
