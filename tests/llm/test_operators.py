@@ -548,6 +548,20 @@ def fold(events):
     return {(c, t, role or "", text) for c, turns in out.items() for t, (role, text) in turns.items()}
 
 
+def test_the_log_ends_in_its_messages(spark):
+    """Several events a message, replaced and repeated ones among them; two rows of a turn stay two messages; nulls are empty."""
+    rows = [(1, t, "user" if t % 2 else "assistant", f"text {t} </s> & <|x|>") for t in range(30)] + [(2, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", None), (2, 1, None, "b"), (None, 0, "user", "")]
+    log = chat_format.as_log(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    events = log.collect()
+    assert {e["op"] for e in events} == {"delta", "edit", "regenerate"} and len(events) > 2 * len(rows) and len(set(events)) < len(events)
+    shuffled = log.orderBy(F.xxhash64("seq", "text"))
+    got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat_format.read_back(chat_format.render(chat_format.fold_events(shuffled))).collect()}
+    want = defaultdict(list)
+    for c, t, role, text in sorted(rows, key=lambda r: (r[0] or 0, r[1], r[2] or "", r[3] or "")):
+        want[c].append((role or "", text or ""))
+    assert got == want
+
+
 def test_chat_events(spark):
     r, events = random.Random(8), []
     for c in range(12):
