@@ -6,7 +6,7 @@ rank of every pair of neighbours inside a word is found by binary search over th
 its pairs of its lowest rank (from the left where they overlap), and words without a known pair are done. A pair made of a merged symbol always
 has a higher rank than the merge itself, which `Vocabulary` checks, so that rounds give what one merge at a time gives.
 
-What stands between white space is kept with its ids for later slices, at most `KEPT` of them. Special tokens are found in the raw text first, as the
+What stands between white space is kept with its ids for later slices, unless it is longer than KEPT_CHARS, up to KEPT_BYTES in all. Special tokens are found in the raw text first, as the
 vocabulary file says. Decoding joins the tokens' strings by one space, since the file names no decoder.
 
 Null and empty texts have no tokens. Repeated rows, null ids and extra columns do not matter: the rows of the result follow those of
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-KEPT = 300_000
+#: What is kept between slices: chunks of so many characters at most, and so many bytes in all (with some 250 for an entry).
+KEPT_CHARS, KEPT_BYTES, ENTRY = 200, 96 << 20, 250
 #: Python takes these for white space, the vocabulary's patterns do not.
 NOT_WHITE = regex.compile(r"[\x1c-\x1f]")
 WHITE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -145,13 +146,17 @@ class Coder:
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.known: dict[str, np.ndarray] = {}
+        self.kept, self.long = 0, []
 
     def learn(self, texts: list[str]) -> list[list[str]]:
         """The chunks of each text, all of which are then in `known`."""
         v = self.vocabulary
         each = [v.chunks(t) for t in texts]
-        if len(self.known) > KEPT:
+        for w in self.long:
+            self.known.pop(w, None)
+        if self.kept > KEPT_BYTES:
             self.known.clear()
+            self.kept = 0
         new = list({w for ws in each for w in ws}.difference(self.known))
         words = [v.pattern.findall(w[1:] if w[0] == "\0" else w) for w in new]
         distinct = list(dict.fromkeys(w for ws in words for w in ws))
@@ -161,6 +166,8 @@ class Coder:
                 self.known[chunk] = np.array([v.special[chunk[1:]]])
             else:
                 self.known[chunk] = ids[ws[0]] if len(ws) == 1 else np.concatenate([ids[w] for w in ws] or [np.zeros(0, np.int64)])
+        self.long = [w for w in new if len(w) > KEPT_CHARS]
+        self.kept += sum(ENTRY + len(w) + 8 * len(self.known[w]) for w in new if len(w) <= KEPT_CHARS)
         return each
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -210,19 +217,27 @@ def _digests(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         c = coder(path)
         numbers: dict[str, str] = {}
         strings: dict[str, str] = {}
+        kept = 0
         for batch in batches:
             for part in C.slices(batch, "text"):
                 each = c.learn([x or "" for x in part.column("text").to_pylist()])
-                if len(numbers) > KEPT:
+                if kept > KEPT_BYTES:
                     numbers.clear()
                     strings.clear()
-                for w in {w for ws in each for w in ws}.difference(numbers):
+                    kept = 0
+                new = {w for ws in each for w in ws}.difference(numbers)
+                for w in new:
                     numbers[w] = " ".join(map(str, c.known[w].tolist()))
                     strings[w] = c.vocabulary.decode(c.known[w])
                 each = [[w for w in ws if numbers[w]] for ws in each] if not all(map(numbers.__getitem__, {w for ws in each for w in ws})) else each
                 ids = [" ".join(map(numbers.__getitem__, ws)) for ws in each]
                 texts = [" ".join(map(strings.__getitem__, ws)) for ws in each]
                 count = [x.count(" ") + 1 if x else 0 for x in ids]
+                for w in new:
+                    if len(w) > KEPT_CHARS:
+                        del numbers[w], strings[w]
+                    else:
+                        kept += 2 * ENTRY + len(numbers[w]) + len(strings[w])
                 sha = lambda xs: pa.array([hashlib.sha256(x.encode()).hexdigest() for x in xs], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count, pa.int64()), sha(ids), sha(texts)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -38,7 +38,9 @@ from . import common as C
 LONGEST = 33
 #: Up to so many bytes, expected counts are taken from plain probabilities.
 PLAIN = 24
-FREQUENT = 200_000
+#: Longer words are walked in blocks of about so many lattice rows, whatever their length.
+WALK = 1 << 12
+FREQUENT, FREQUENT_BYTES = 200_000, 64
 FLUSH = 200_000
 END = " "
 
@@ -138,17 +140,46 @@ def _forward(scores: np.ndarray) -> np.ndarray:
     return alpha
 
 
-def _backward(scores: np.ndarray) -> np.ndarray:
-    """Log sums over all segmentations of each row's rest after each byte: [rows, n + longest], the empty rest at n."""
-    count, n, longest = scores.shape
-    ahead = np.full_like(scores, LOW)  # by where a piece begins
-    for k in range(longest):
-        ahead[:, : n - k, k] = scores[:, k:, k]
-    beta = np.full((count, n + longest), LOW)
+def _pieces_in(vocabulary: Pieces, rows: np.ndarray, a: int, b: int) -> np.ndarray:
+    """What `lattice` says of the bytes from a to b alone, always [rows, b - a, longest]."""
+    found = vocabulary.lattice(rows[:, a:b])
+    return np.pad(found, ((0, 0), (0, 0), (0, vocabulary.longest - found.shape[2])), constant_values=vocabulary.n)
+
+
+def _walk_ahead(rows: np.ndarray, vocabulary: Pieces, log_p: np.ndarray) -> np.ndarray:
+    """What `_forward` gives, for words of any length: the lattice is made and left block by block, only sums stay."""
+    (count, n), longest = rows.shape, vocabulary.longest
+    alpha = np.full((count, n + longest), LOW)
+    alpha[:, longest - 1] = 0
+    step = max(longest, WALK // count)
+    for a in range(0, n, step):
+        b, low = min(n, a + step), max(0, a - longest + 1)
+        scores = log_p[_pieces_in(vocabulary, rows, low, b)[:, a - low :]]
+        for i in range(a, b):
+            alpha[:, longest + i] = _log_sum(alpha[:, i : i + longest][:, ::-1] + scores[:, i - a])
+    return alpha
+
+
+def _walk_back(rows: np.ndarray, times: np.ndarray, vocabulary: Pieces, log_p: np.ndarray) -> np.ndarray:
+    """Expected counts of the pieces in words of any length, from their ends on, block by block."""
+    (count, n), longest = rows.shape, vocabulary.longest
+    alpha, beta, total = _walk_ahead(rows, vocabulary, log_p), np.full((count, n + longest), LOW), np.zeros(vocabulary.n + 1)
     beta[:, n] = 0
-    for i in range(n - 1, -1, -1):
-        beta[:, i] = _log_sum(beta[:, i + 1 : i + 1 + longest] + ahead[:, i])
-    return beta
+    step = max(longest, WALK // count)
+    for a in reversed(range(0, n, step)):
+        b = min(n, a + step)
+        found = _pieces_in(vocabulary, rows, a, min(n, b + longest - 1))
+        starting = np.full((count, b - a, longest), vocabulary.n, np.int32)  # by where a piece begins
+        for k in range(longest):
+            here = found[:, k : k + b - a, k]
+            starting[:, : here.shape[1], k] = here
+        scores = log_p[starting]
+        for i in range(b - 1, a - 1, -1):
+            beta[:, i] = _log_sum(beta[:, i + 1 : i + 1 + longest] + scores[:, i - a])
+        word, i, k = np.nonzero(starting < vocabulary.n)
+        share = np.exp(alpha[word, longest - 1 + a + i] + scores[word, i, k] + beta[word, a + i + k + 1] - alpha[word, -1])
+        total += np.bincount(starting[word, i, k], share * times[word], vocabulary.n + 1)
+    return total
 
 
 def _groups(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -168,7 +199,8 @@ def word_scores(words: list[bytes], vocabulary: Pieces, log_p: np.ndarray) -> np
     """Natural log of each word's probability; log_p has one place more than pieces, for none."""
     out = np.zeros(len(words))
     for rows, at in _groups(words):
-        alpha = _forward(log_p[vocabulary.lattice(rows)])
+        long = rows.size > WALK * 4 or rows.shape[1] > 4 * PLAIN
+        alpha = _walk_ahead(rows, vocabulary, log_p) if long else _forward(log_p[vocabulary.lattice(rows)])
         out[at] = alpha[:, -1]
     return out
 
@@ -178,15 +210,11 @@ def expected_counts(words: list[bytes], times: np.ndarray, vocabulary: Pieces, l
     total, p = np.zeros(vocabulary.n + 1), np.exp(log_p)
     p[-1] = 0
     for rows, at in _groups(words):
+        if rows.shape[1] > PLAIN:
+            total += _walk_back(rows, times[at], vocabulary, log_p)
+            continue
         found = vocabulary.lattice(rows)
         count, n, longest = found.shape
-        if n > PLAIN:
-            scores = log_p[found]
-            alpha, beta = _forward(scores), _backward(scores)
-            word, i, k = np.nonzero(found < vocabulary.n)
-            share = np.exp(alpha[word, longest - 1 + i - k] + scores[word, i, k] + beta[word, i + 1] - alpha[word, -1])
-            total += np.bincount(found[word, i, k], share * times[at][word], vocabulary.n + 1)
-            continue
         part = p[found]  # of short words no product underflows, so that counts need no logarithms
         ahead = np.zeros_like(part)
         for k in range(longest):
@@ -282,14 +310,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("total"), pa.array((c > 0).astype(np.int64)), pa.array(np.log10(c + 0.1) - denominator), pa.array(model / math.log(10))], ["word", "total", "known", "base", "model"])
 
     table = C.materialize(words.mapInArrow(scored, "word binary, total long, known long, base double, model double"))
-    level = F.floor(F.log2("total") * 16)
-    limit, above = 0, 0
+    level = F.when(F.octet_length("word") <= FREQUENT_BYTES, F.floor(F.log2("total") * 16)).otherwise(-1)
+    limit, above = 0, 0  # longer words are met by the join below
     for row in table.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some hundred rows
         if above + row["count"] > frequent:
             limit = row["level"] + 1
             break
         above += row["count"]
-    top = table.filter(level >= limit).select("word", "known", "base", "model").toPandas()  # at most `frequent` rows
+    top = table.filter(level >= limit).select("word", "known", "base", "model").toPandas()  # at most `frequent` rows of at most FREQUENT_BYTES
     index = {w: i for i, w in enumerate(map(bytes, top["word"]))}
     values = spark.sparkContext.broadcast((index, np.vstack([top[["known", "base", "model"]].to_numpy(np.float64), np.zeros((1, 3))])))
 

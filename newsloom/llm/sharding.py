@@ -53,7 +53,7 @@ def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col:
     text = C.text_or_empty(f"`{text_col}`")
     key = key_hash(F.col("doc_id"))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = rows.withColumn("shard", jump(key, shards)).withColumn("grown_shard", jump(key, shards + 1)).withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int"))
+    rows = rows.withColumn("shard", jump(key, shards)).withColumn("grown_shard", jump(key, shards + 1)).withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), F.lit(parts)).cast("int"))
     rows = C.materialize(rows)
     counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))  # shards x parts rows at most
     firsts = counts.withColumn("first", F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).drop("n")

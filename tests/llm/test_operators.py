@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -411,6 +412,72 @@ def test_bpe(spark, docs, none):
     assert bpe.encode(none).count() == 0
 
 
+def test_bpe_keeps_a_bounded_number_of_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 20_000)
+    c, r = bpe.Coder(bpe.default_vocabulary()), random.Random(6)
+    fresh = bpe.Coder(bpe.default_vocabulary())
+    for k in range(12):
+        texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(r.choice([3, 9, 400]))) for _ in range(30)) for _ in range(3)]
+        assert [x.tolist() for x in c.encode(texts)] == [x.tolist() for x in fresh.encode(texts)]
+        assert sum(len(w) for w in c.known if w not in c.long) < 60_000 and c.kept < 80_000
+        fresh.known.clear()
+
+
+def test_lattice_walks_long_words_in_blocks(monkeypatch):
+    v = lattice_lm.pieces(lattice_lm.default_vocabulary())
+    log_p, r = np.append(v.start, lattice_lm.LOW), random.Random(7)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n)).encode() for n in (1, 5, 30, 31, 100, 100, 150, 400)]
+    times = np.array([1, 2, 3, 1, 1, 2, 1, 4])
+    whole = [float(lattice_lm._forward(log_p[v.lattice(rows)])[k, -1]) for w in words for rows in [np.frombuffer(b" " + w, np.uint8).reshape(1, -1)] for k in [0]]
+    counts = lattice_lm.expected_counts(words, times, v, log_p)
+    monkeypatch.setattr(lattice_lm, "WALK", 40)
+    assert np.allclose(lattice_lm.word_scores(words, v, log_p), whole, rtol=1e-12)
+    assert np.allclose(lattice_lm.expected_counts(words, times, v, log_p), counts, rtol=1e-9, atol=1e-12)
+    monkeypatch.undo()
+    big = ("".join(r.choice("abcdefgh0123") for _ in range(60_000))).encode()
+    tracemalloc.start()
+    score = lattice_lm.word_scores([big], v, log_p)[0]
+    assert tracemalloc.get_traced_memory()[1] < 60e6 and -6 * len(big) < score < 0
+    tracemalloc.stop()
+
+
+def test_lm_scores_by_brute_force(spark, monkeypatch):
+    """The query's score: the log of the sum over all segmentations of each word, by plain recursion, with the fitted pieces."""
+    texts = [(i, prose(25, 70 + i), "en", "s", 0) for i in range(14)] + [(20, None, "en", "s", 0), (21, "x" * 300 + " Ünïcode 字字", "en", "s", 0)]
+    fitted, real = [], lattice_lm.fit
+
+    def spy(*a):
+        fitted.append(real(*a))
+        return fitted[-1]
+
+    monkeypatch.setattr(lattice_lm, "fit", spy)
+    got = {r["doc_id"]: r["score"] for r in lattice_lm.score_texts(spark.createDataFrame(texts, KINDS), rounds=2).collect()}
+    (log_p, log_end), v = fitted[0], lattice_lm.pieces(lattice_lm.default_vocabulary())
+
+    def word(w):
+        w, alpha = b" " + w, [0.0]
+        for e in range(1, len(w) + 1):
+            terms = []
+            for b in range(max(0, e - v.longest), e):
+                p = int(v.find(np.array([lattice_lm._roll(np.frombuffer(w[b:e], np.uint8).reshape(1, -1))[0, -1] + np.uint64(e - b)], np.uint64))[0])
+                if p < v.n:
+                    terms.append(alpha[b] + log_p[p])
+            most = max(terms)
+            alpha.append(most + math.log(sum(math.exp(t - most) for t in terms)))
+        return alpha[-1]
+
+    for i, t, *_ in texts:
+        want = (sum(word(w) for w in (t or "").encode().lower().split()) + log_end) / math.log(10)
+        assert abs(got[i] - want) < 1e-6 * abs(want)
+
+
+def test_equal_rows_are_dealt_over_many_parts(spark):
+    rows = spark.range(0, 20_000, 1, 8).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
+    got = sharding.assign(rows)
+    assert sorted(r["slot"] for r in got.collect()) == list(range(20_000))
+    assert got.select("shard").distinct().count() == 1
+
+
 def test_bpe_fuzz():
     from tokenizers import Tokenizer
 
