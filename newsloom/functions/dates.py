@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 
-# Month names by language, in the order of months (nominative, and genitive where it differs).
+# Month names by language, in the order of months (nominative, genitive where it differs, and short ones of three letters or more). Kyrgyz has the Russian names, Uzbek the short ones of Azerbaijani but for avg.
 MONTHS = {
     "en": "january february march april may june july august september october november december",
     "ru": "январь февраль март апрель май июнь июль август сентябрь октябрь ноябрь декабрь",
@@ -15,6 +15,17 @@ MONTHS = {
     "tr": "ocak şubat mart nisan mayıs haziran temmuz ağustos eylül ekim kasım aralık",
     "az": "yanvar fevral mart aprel may iyun iyul avqust sentyabr oktyabr noyabr dekabr",
     "uz": "yanvar fevral mart aprel may iyun iyul avgust sentabr oktabr noyabr dekabr",
+    "ka": "იანვარი თებერვალი მარტი აპრილი მაისი ივნისი ივლისი აგვისტო სექტემბერი ოქტომბერი ნოემბერი დეკემბერი",
+    "hy": "հունվար փետրվար մարտ ապրիլ մայիս հունիս հուլիս օգոստոս սեպտեմբեր հոկտեմբեր նոյեմբեր դեկտեմբեր",
+    "hy genitive": "հունվարի փետրվարի մարտի ապրիլի մայիսի հունիսի հուլիսի օգոստոսի սեպտեմբերի հոկտեմբերի նոյեմբերի դեկտեմբերի",
+    "en short": "jan feb mar apr may jun jul aug sep oct nov dec",
+    "ru short": "янв фев мар апр май июн июл авг сен окт ноя дек",
+    "tr short": "oca şub mar nis may haz tem ağu eyl eki kas ara",
+    "uz short": "yan fev mar apr may iyn iyl avg sen okt noy dek",
+    "az short": "yan fev mar apr may iyn iyl avq sen okt noy dek",
+    "kk short": "қаң ақп нау сәу мам мау шіл там қыр қаз қар жел",
+    "ka short": "იან თებ მარ აპრ მაი ივნ ივლ აგვ სექ ოქტ ნოე დეკ",
+    "hy short": "հնվ փտվ մրտ ապր մյս հնս հլս օգս սեպ հոկ նոյ դեկ",
     "kk": "қаңтар ақпан наурыз сәуір мамыр маусым шілде тамыз қыркүйек қазан қараша желтоқсан",
 }
 

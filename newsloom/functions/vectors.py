@@ -26,3 +26,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 def has_size(a: Column, size: int) -> Column:
     return a.isNotNull() & (F.size(a) == size)
+
+
+def mean_pool(vectors: Column, mask: Column) -> Column:
+    """The mean of those vectors whose mask is not 0, place by place; zeros where there is none."""
+    some = F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda x: x["m"] != 0)
+    zero = F.transform(F.get(vectors, F.lit(0)), lambda _: F.lit(0.0))
+    total = F.aggregate(some, zero, lambda s, x: F.zip_with(s, x["v"], lambda a, b: a + b.cast("double")))
+    return F.transform(total, lambda x: x / F.greatest(F.size(some).cast("double"), F.lit(1e-9)))

@@ -114,3 +114,17 @@ def apply_edits(items: DataFrame, answer: str | None, is_fine: Callable, n: int)
     title, summary = F.coalesce("new.title", "title"), F.coalesce("new.summary", "summary")
     fine = is_fine(title, summary)
     return met.select("idx", F.when(fine, title).otherwise(F.col("title")).alias("title"), F.when(fine, summary).otherwise(F.col("summary")).alias("summary"))
+
+
+def ablated(prompt: str, arms: dict[str, list[str]]) -> dict[str, str]:
+    """The prompt of each arm, without the arm's fragments; a fragment that the prompt does not hold is an error, since two arms would be the same."""
+    out = {}
+    for arm, fragments in arms.items():
+        text = prompt
+        for fragment in fragments:
+            before, found, after = text.partition(fragment)
+            if not found:
+                raise ValueError(f"{arm}: the prompt does not hold {fragment[:60]!r}")
+            text = before + after.replace(fragment, "")
+        out[arm] = text
+    return out

@@ -7,9 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import BLOCK
-
 from ..plans.storage import materialize
+from .cluster import BLOCK
 
 
 def ndcg(gains: DataFrame, k: int, group: list[str], rank: str = "rank", gain: str = "gain") -> DataFrame:
@@ -85,6 +84,29 @@ def weekly(issues: DataFrame, date: str = "issue_date") -> DataFrame:
     return issues.crossJoin(F.broadcast(last)).filter(F.dayofweek(date) == F.dayofweek("last")).drop("last")
 
 
+def archive_cut(issues: DataFrame, date: str = "issue_date") -> DataFrame:
+    """Items of earlier issues on the latest issue's day of the week."""
+    last = issues.agg(F.max(date).alias("last"))
+    return issues.crossJoin(F.broadcast(last)).filter((F.dayofweek(date) == F.dayofweek("last")) & (F.col(date) < F.col("last"))).drop("last")
+
+
+def group_medians(rows: DataFrame, by: str, value: str) -> DataFrame:
+    return rows.groupBy(by).agg(F.count(value).alias("n"), F.percentile(value, F.lit(0.5)).alias("median"))
+
+
+def override_grades(rows: DataFrame, grades: DataFrame, levels: int, key: str = "url", grade: str = "grade") -> DataFrame:
+    """rows with the grades of another judge (key, grade) in place of their own, -1 where it has none, and their value on a scale of so many levels."""
+    put = F.coalesce(F.col("__other"), F.lit(-1))
+    met = rows.drop(grade).join(grades.select(key, F.col(grade).alias("__other")), key, "left").withColumn(grade, put).drop("__other")
+    return met.withColumn("value", F.when(F.col(grade) > 0, (F.col(grade) - 1) / (levels - 1)))
+
+
+def report_lines(rows: DataFrame, arm: str, figures: dict[str, str]) -> DataFrame:
+    """arm and line: each arm's figures as `name=value`, by formats."""
+    cells = [F.concat(F.lit(f"{name}="), F.format_string(form, name)) for name, form in figures.items()]
+    return rows.select(arm, F.concat(F.col(arm).cast("string"), F.lit(": "), F.concat_ws("  ", *cells)).alias("line"))
+
+
 def nearest_earlier(issues: DataFrame, key: str, date: str, vector: str, block: int = BLOCK) -> DataFrame:
     """Each item's most similar item of an earlier issue: key, cos, other (the smallest of equals). Items without an earlier issue, a date or a vector are left out.
 

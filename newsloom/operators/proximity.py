@@ -115,3 +115,9 @@ def nearest(mentions: DataFrame, key: str, kind: str, offset: str, a: str, b: st
     last = {k: F.last(F.when(F.col(kind) == k, F.col(offset)), ignorenulls=True).over(w) for k in (a, b)}
     gap = F.col(offset) - F.when(F.col(kind) == a, last[b]).otherwise(last[a])
     return rows.withColumn("gap", gap).groupBy(key).agg(F.min("gap").alias("gap")).filter("gap IS NOT NULL")
+
+
+def by_substring(rows: DataFrame, themes: list[str], countries: list[str], theme: str = "v1t", place: str = "v1l") -> DataFrame:
+    """Rows by the plain rule that exact selection is compared with: a theme's name anywhere, and a country's code between hashes anywhere."""
+    has = lambda c, any_of: F.coalesce(F.col(c), F.lit("")).rlike("(?i)" + "|".join(any_of))
+    return rows.filter(has(theme, themes) & F.coalesce(F.col(place), F.lit("")).rlike("|".join(f"#{c}#" for c in countries)))

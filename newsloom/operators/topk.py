@@ -37,6 +37,11 @@ def leftovers(stories: DataFrame, picked: DataFrame, key: str = "id") -> DataFra
     return stories.join(picked.select(key), key, "left_anti")
 
 
+def raw_reserve(articles: DataFrame, picked: DataFrame, versions: str = "versions", key: str = "id") -> DataFrame:
+    """Articles that are no version of a picked story, as they are: neither grouped nor scored."""
+    return articles.join(picked.select(F.explode(versions).alias(key)).distinct(), key, "left_anti")
+
+
 def deficit_pool(rest: DataFrame, cap: int = S.DEFICIT_POOL_CAP, key: str = "id") -> DataFrame:
     """A fixed pseudo-random choice of at most cap rows."""
     return rest.orderBy(F.xxhash64(key), key).limit(cap)
@@ -60,6 +65,11 @@ def stratified(rows: DataFrame, stratum: str, each: int, seed: int = 0, key: str
     return rows.withColumn("place", place).filter(F.col("place") <= each).drop("place")
 
 
+def newest(files: DataFrame, n: int, changed: str = "changed", name: str = "name") -> DataFrame:
+    """The n files that changed last."""
+    return files.orderBy(F.desc(changed), name).limit(n)
+
+
 def within_budget(requests: DataFrame, budget: int, order: list[Column]) -> DataFrame:
     """The first `budget` requests over all queries, in their order."""
     return requests.orderBy(*order).limit(budget)

@@ -30,10 +30,11 @@ def rank(articles: DataFrame, archive: DataFrame | None = None, topics: DataFram
 
 
 def choose(ranked: DataFrame, quota: dict[str, int] | None = None, items: int = S.ITEMS, weights: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Picks and reserves. A bucket's reserve is what the quota leaves, scored anew; if quotas give too few picks, the best of all the rest fill up."""
+    """Picks and reserves. A bucket's reserve is what the quota leaves, scored anew; that of MIX stays raw, without score or rank. If quotas give too few picks, the best of all the rest fill up."""
     picked = materialize(topk.quota_topk(ranked, quota or S.QUOTA))
     rest = topk.leftovers(ranked, picked).drop("importance", "rank")
-    reserve = materialize(scoring.ranked(scoring.importance(rest, ["bucket"], "id", weights), ["bucket"], "id"))
+    scored = scoring.ranked(scoring.importance(rest.filter("bucket <> 'MIX'"), ["bucket"], "id", weights), ["bucket"], "id")
+    reserve = materialize(scored.unionByName(rest.filter("bucket = 'MIX'"), allowMissingColumns=True))
     missing = items - picked.count()
     if missing > 0:
         pool = topk.deficit_pool(reserve).drop("importance", "rank").withColumn("all", F.lit(1))
@@ -43,6 +44,25 @@ def choose(ranked: DataFrame, quota: dict[str, int] | None = None, items: int =
     return picked, reserve
 
 
+def without_repeats(picked: DataFrame, reserve: DataFrame, vectors: DataFrame, threshold: float = S.DEDUP_COSINE, scan: int = S.MAX_RESERVE_SCAN) -> list[int]:
+    """Ids of the picks, in which one that repeats another is replaced by the next of its bucket's reserve that repeats none.
+
+    vectors (id, embedding) are of the stories before retelling, or of what is told afterwards. Picks are a quota, and of each bucket's reserve
+    at most `scan` rows a pick are looked at, which is all that comes to the driver.
+    """
+    order = F.coalesce(F.col("rank").cast("long"), F.xxhash64("id"))
+    places = {r["bucket"]: r["count"] for r in picked.groupBy("bucket").count().collect()}  # a row a bucket
+    accepted: list[list[float]] = []
+    out: list[int] = []
+    for bucket, n in sorted(places.items()):
+        ranked = [picked.filter(F.col("bucket") == bucket).select("id", order.alias("o"), F.lit(0).alias("k")), reserve.filter(F.col("bucket") == bucket).select("id", order.alias("o"), F.lit(1).alias("k")).orderBy("o", "id").limit(n * scan)]
+        rows = ranked[0].unionByName(ranked[1]).join(vectors.select("id", "embedding"), "id").orderBy("k", "o", "id").collect()
+        kept = cluster.not_repeated([r.asDict() for r in rows], accepted, n, threshold, scan)
+        accepted += [r["embedding"] for r in kept]
+        out += [r["id"] for r in kept]
+    return out
+
+
 def prompts(picked: DataFrame, versions: DataFrame, budget: int = 6000) -> DataFrame:
     """story and prompt of each pick, from at most a few of its versions, the longest first."""
     few = picked.select(F.col("id").alias("story"), F.explode(topk.first_versions(F.col("versions"))).alias("id"))

@@ -494,10 +494,10 @@ def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.cluster(_t(spark, sf_dir, "embeddings"), COSINE, "vec_id").select("vec_id", "leader")
 
 
-@query("SELECT label AS leader, count(*) AS n_versions, min(CASE WHEN k = 1 THEN vec_id END) AS representative FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY length(coalesce(text, '')) DESC, vec_id) AS k FROM embeddings LEFT JOIN documents ON vec_id = doc_id) GROUP BY label")
+@query("SELECT label AS leader, count(*) AS n_versions, min(CASE WHEN k = 1 THEN vec_id END) AS representative, string_agg(vec_id, ' ' ORDER BY k) AS versions FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY length(coalesce(text, '')) DESC, vec_id) AS k FROM embeddings LEFT JOIN documents ON vec_id = doc_id) GROUP BY label")
 def story_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _t(spark, sf_dir, "embeddings").join(_t(spark, sf_dir, "documents"), F.col("vec_id") == F.col("doc_id"), "left").withColumnRenamed("label", "leader")
-    return cluster.stories(e, "vec_id").select("leader", "n_versions", "representative")
+    return cluster.stories(e, "vec_id").select("leader", "n_versions", "representative", F.array_join(F.col("versions").cast("array<string>"), " ").alias("versions"))
 
 
 @query("SELECT vec_id, coalesce(v, 'pending') AS verdict FROM embeddings LEFT JOIN (SELECT doc_id, CASE WHEN quality = 1 THEN 'accepted' ELSE 'rejected' END AS v FROM labels) ON label = doc_id")
@@ -634,6 +634,57 @@ def selectivity_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.ladder(e)
 
 
+@query("WITH i AS (SELECT vec_id, DATE '2026-01-04' + CAST(vec_id % 40 AS INTEGER) AS d FROM embeddings), m AS (SELECT max(d) AS d FROM i) SELECT vec_id FROM i, m WHERE dayofweek(i.d) = dayofweek(m.d) AND i.d < m.d")
+def archive_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = _t(spark, sf_dir, "embeddings").select("vec_id", F.date_add(F.lit("2026-01-04").cast("date"), (F.col("vec_id") % 40).cast("int")).alias("issue_date"))
+    return metrics.archive_cut(i).select("vec_id")
+
+
+@query("SELECT c_nationkey AS nation, count(*) AS n, round(median(c_acctbal), 6) AS median FROM customer GROUP BY c_nationkey")
+def group_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.group_medians(_t(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "nation"), "nation", "c_acctbal").withColumn("median", _r("median"))
+
+
+@query("SELECT d.doc_id, coalesce(1 + quality + toxic, -1) AS grade, round(CASE WHEN quality IS NOT NULL THEN (quality + toxic) / 4.0 END, 6) AS value FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def override_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    other = _t(spark, sf_dir, "labels").select("doc_id", (1 + F.col("quality") + F.col("toxic")).alias("grade"))
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.lit(3).alias("grade"))
+    return metrics.override_grades(rows, other, 5, "doc_id").withColumn("value", _r("value"))
+
+
+@query("SELECT lang, lang || ': n=' || count(*) || '  digits=' || CAST(sum(len(regexp_extract_all(text, '[0-9]'))) AS BIGINT) AS line FROM documents GROUP BY lang")
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.regexp_count("text", F.lit("[0-9]"))).alias("digits"))
+    return metrics.report_lines(d, "lang", {"n": "%d", "digits": "%d"})
+
+
+@query("SELECT event_id FROM events WHERE (event_type ILIKE '%ie%' OR event_type ILIKE '%LICK%') AND user_id % 7 IN (2, 5)")
+def substring_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").select("event_id", F.concat(F.lit("TAX;"), F.upper("event_type"), F.lit("_X")).alias("v1t"), F.concat(F.lit("1#n#C"), (F.col("user_id") % 7).cast("string"), F.lit("#x")).alias("v1l"))
+    return proximity.by_substring(e, ["ie", "LICK"], ["C2", "C5"]).select("event_id")
+
+
+@query("SELECT vec_id FROM embeddings WHERE label % 3 <> 0")
+def raw_reserve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles that are no version of a picked story."""
+    e = _t(spark, sf_dir, "embeddings")
+    stories = cluster.stories(e.withColumn("text", F.lit("")).withColumnRenamed("label", "leader"), "vec_id")
+    return topk.raw_reserve(e, stories.filter("leader % 3 = 0"), key="vec_id").select("vec_id")
+
+
+@query("SELECT event_id AS name FROM events ORDER BY ts DESC, event_id LIMIT 15")
+def newest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.newest(_t(spark, sf_dir, "events").select(F.col("event_id").alias("name"), F.col("ts").alias("changed")), 15).select("name")
+
+
+@query("SELECT vec_id, i, round((embedding[i] + embedding[8 + i] + embedding[24 + i])::DOUBLE / 3, 5) AS x FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding, unnest(generate_series(1, 8)) AS i FROM embeddings)")
+def mean_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token vectors, here the first four eighths of each vector, one of them masked."""
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", F.array(*(F.slice("embedding", 1 + 8 * k, 8) for k in range(4))).alias("v"))
+    pooled = V.mean_pool(F.col("v"), F.array(*map(F.lit, (1, 1, 0, 1))))
+    return e.select("vec_id", F.posexplode(pooled).alias("i", "x")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 5).alias("x"))
+
+
 # Streams
 
 

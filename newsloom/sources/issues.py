@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +30,24 @@ def parse_items(lines: DataFrame, issue: str = "issue", pos: str = "pos", line:
     return items.select(issue, part(1).cast("int").alias("number"), part(2).alias("date"), part(3).alias("title"), "summary", "urls")
 
 
+def read_docx(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """issue (the file), pos and line of each paragraph of .docx files; unreadable files give none."""
+    word = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for file, content in ((f, c) for part in parts for f, c in zip(part["path"], part["content"])):
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    body = ElementTree.fromstring(z.read("word/document.xml"))
+            except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+                continue
+            said = {f"{word}t": lambda x: x.text or "", f"{word}tab": lambda _: "\t", f"{word}br": lambda _: "\n"}
+            lines = ["".join(said[x.tag](x) for x in p.iter() if x.tag in said) for p in body.iter(f"{word}p")]
+            yield pd.DataFrame({"issue": file, "pos": range(len(lines)), "line": lines})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "issue string, pos int, line string")
+
+
 def latest_files(names: DataFrame, name: str = "name", prefix: str = "issue", suffix: str = ".docx") -> DataFrame:
     """date and name of the last file of each date: <prefix>_<date><suffix>, or the one with the largest -n."""
     pattern = rf"^{re.escape(prefix)}_(\d{{4}}-\d{{2}}-\d{{2}})(?:-(\d+))?{re.escape(suffix)}$"
