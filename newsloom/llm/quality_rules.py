@@ -105,4 +105,20 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_quality_rules": op2_quality_rules}
-ORACLE_SQL: dict[str, str] = {}
+_NORMAL = r"trim(regexp_replace(regexp_replace(lower(x), '\d+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))"
+ORACLE_SQL = {
+    "op2_quality_rules": rf"""
+        WITH t AS (SELECT doc_id, text, coalesce(source, chr(0)) AS host, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS raw FROM documents),
+        v AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS v FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 4)) AS i FROM t WHERE len(ws) >= 5)),
+        again AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 4)) AS place FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, v) AS k FROM v) WHERE k > 1) GROUP BY doc_id),
+        x AS (SELECT doc_id, host, {_NORMAL} AS line FROM (SELECT doc_id, host, unnest(raw) AS x FROM t)),
+        common AS (SELECT host, line, min(doc_id) AS first FROM x GROUP BY ALL HAVING count(DISTINCT doc_id) > 50),
+        each AS (SELECT x.doc_id, x.line, c.first IS NOT NULL AS gone FROM x LEFT JOIN common c ON c.host = x.host AND c.line = x.line AND x.doc_id > c.first),
+        l AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_gone, sum(length(line)) AS chars, coalesce(sum(length(line)) FILTER (NOT gone), 0) AS stay, list(DISTINCT line) FILTER (gone) AS lines FROM each GROUP BY doc_id),
+        b AS (SELECT t.*, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_gone, 0) AS n_removed_lines, coalesce(stay < 0.3 * chars, false) AS depleted, lines FROM t LEFT JOIN again USING (doc_id) LEFT JOIN l USING (doc_id)),
+        f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+        SELECT doc_id, n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(raw) - len(list_distinct(raw)) AS BIGINT) AS n_dup_lines, n_repeat_words,
+               base_failed, NOT base_failed AND NOT depleted AS kept, n_lines, n_removed_lines,
+               CASE WHEN n_removed_lines > 0 THEN array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT (regexp_matches(x, '[^\x20\x09-\x0D]') AND list_contains(lines, {_NORMAL}))), chr(10)) ELSE text END AS text FROM f
+    """
+}

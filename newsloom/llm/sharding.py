@@ -87,5 +87,11 @@ def _oracle(shards: int) -> str:
 
 
 SHARD_SQL = _oracle(24)
-QUERIES = {"op7_sharding": op7_sharding}
-ORACLE_SQL: dict[str, str] = {}  # crc32 and the order by hash inside a shard are not in SQL; tests compare SHARD_SQL
+def shard_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those columns of op7_sharding that SQL can make too."""
+    return op7_sharding(spark, sf_dir).select("doc_id", "size", "law", "shard", "grown_shard")
+
+
+QUERIES = {"op7_sharding": op7_sharding, "shard_columns": shard_columns}
+# crc32 and the order by hash inside a shard are not in SQL; a test compares them with plain Python
+ORACLE_SQL = {"shard_columns": f"SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, 'key' AS law, shard, grown_shard FROM documents JOIN ({SHARD_SQL}) USING (doc_id)"}

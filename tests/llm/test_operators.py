@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import bpe, chat_format, exact_dedup, lattice_lm, minhash_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup
 from newsloom.llm import common as C
+from newsloom.llm import registry
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KINDS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -596,9 +597,8 @@ def test_sharding(docs, none, tmp_path):
 
 def test_sharding_and_chat_queries(spark, data, duck, same_rows):
     same_rows(sharding.op7_sharding(spark, data).select("doc_id", "shard", "grown_shard").toPandas(), duck.sql(sharding.SHARD_SQL).df())
-    for m in (chat_format, exact_dedup):
-        for name, sql in m.ORACLE_SQL.items():
-            same_rows(m.QUERIES[name](spark, data).toPandas(), duck.sql(sql).df())
+    for name, sql in registry.ORACLE_SQL.items():
+        same_rows(registry.QUERIES[name](spark, data).toPandas(), duck.sql(sql).df())
 
 
 def fold(events):
