@@ -157,7 +157,7 @@ class Coder:
         if self.kept > KEPT_BYTES:
             self.known.clear()
             self.kept = 0
-        new = list({w for ws in each for w in ws}.difference(self.known))
+        new = list(set().union(*each).difference(self.known))
         words = [v.pattern.findall(w[1:] if w[0] == "\0" else w) for w in new]
         distinct = list(dict.fromkeys(w for ws in words for w in ws))
         ids = dict(zip(distinct, v.encode_words(distinct)))
@@ -166,8 +166,9 @@ class Coder:
                 self.known[chunk] = np.array([v.special[chunk[1:]]])
             else:
                 self.known[chunk] = ids[ws[0]] if len(ws) == 1 else np.concatenate([ids[w] for w in ws] or [np.zeros(0, np.int64)])
-        self.long = [w for w in new if len(w) > KEPT_CHARS]
-        self.kept += sum(ENTRY + len(w) + 8 * len(self.known[w]) for w in new if len(w) <= KEPT_CHARS)
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        self.long = [new[i] for i in np.flatnonzero(sizes > KEPT_CHARS).tolist()]
+        self.kept += int((ENTRY + 9 * sizes[sizes <= KEPT_CHARS]).sum())  # an id stands for a character at least
         return each
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -215,8 +216,10 @@ def _digests(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
+        name = [str(i) for i in range(len(c.vocabulary.strings))].__getitem__
         numbers: dict[str, str] = {}
         strings: dict[str, str] = {}
+        silent: set[str] = set()  # words without ids
         kept = 0
         for batch in batches:
             for part in C.slices(batch, "text"):
@@ -224,20 +227,26 @@ def _digests(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 if kept > KEPT_BYTES:
                     numbers.clear()
                     strings.clear()
+                    silent.clear()
                     kept = 0
-                new = {w for ws in each for w in ws}.difference(numbers)
+                distinct = set().union(*each)
+                new = distinct.difference(numbers)
+                long = []
                 for w in new:
-                    numbers[w] = " ".join(map(str, c.known[w].tolist()))
-                    strings[w] = c.vocabulary.decode(c.known[w])
-                each = [[w for w in ws if numbers[w]] for ws in each] if not all(map(numbers.__getitem__, {w for ws in each for w in ws})) else each
+                    ids = c.known[w].tolist()
+                    numbers[w] = digits = " ".join(map(name, ids)) if len(ids) != 1 else name(ids[0])
+                    strings[w] = string = c.vocabulary.decode(c.known[w])
+                    kept += 2 * ENTRY + len(digits) + len(string)
+                    if len(w) > KEPT_CHARS:
+                        long.append(w)
+                silent.update(w for w in new if not numbers[w])
+                if not silent.isdisjoint(distinct):
+                    each = [[w for w in ws if numbers[w]] for ws in each]
                 ids = [" ".join(map(numbers.__getitem__, ws)) for ws in each]
                 texts = [" ".join(map(strings.__getitem__, ws)) for ws in each]
                 count = [x.count(" ") + 1 if x else 0 for x in ids]
-                for w in new:
-                    if len(w) > KEPT_CHARS:
-                        del numbers[w], strings[w]
-                    else:
-                        kept += 2 * ENTRY + len(numbers[w]) + len(strings[w])
+                for w in long:
+                    kept -= 2 * ENTRY + len(numbers.pop(w)) + len(strings.pop(w))
                 sha = lambda xs: pa.array([hashlib.sha256(x.encode()).hexdigest() for x in xs], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count, pa.int64()), sha(ids), sha(texts)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
