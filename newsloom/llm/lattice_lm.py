@@ -83,6 +83,7 @@ class Pieces:
         self.first, rest = self._table(hashes, np.arange(self.n), 22)
         self.second, rest = self._table(hashes, rest, 18)
         self.last = [(hashes[i], int(i)) for i in rest]
+        self.taken = self.first < self.n  # a smaller table, for the many hashes of no piece
         self.hashes = np.append(hashes, np.uint64(0))  # that of none is never asked for: a hash of 0 belongs to no text
 
     @staticmethod
@@ -95,14 +96,17 @@ class Pieces:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The pieces of the hashes, or n for none."""
-        out = self.first[(hashes * _SPREAD[22]) >> np.uint64(42)]
-        miss = self.hashes[out] != hashes
-        out[miss] = self.n
-        other = self.second[(hashes * _SPREAD[18]) >> np.uint64(46)]
-        hit = self.hashes[other] == hashes
-        out[hit] = other[hit]
+        place = ((hashes * _SPREAD[22]) >> np.uint64(42)).ravel()
+        out = np.full(hashes.shape, self.n, np.int32)
+        some = np.flatnonzero(self.taken[place])
+        asked = hashes.ravel()[some]
+        found = self.first[place[some]]
+        miss = np.flatnonzero(self.hashes[found] != asked)  # a piece's place is taken, by itself or by another
+        other = self.second[(asked[miss] * _SPREAD[18]) >> np.uint64(46)]
+        found[miss] = np.where(self.hashes[other] == asked[miss], other, self.n)
         for h, i in self.last:
-            out[hashes == h] = i
+            found[asked == h] = i
+        out.ravel()[some] = found
         return out
 
     def lattice(self, rows: np.ndarray) -> np.ndarray:
