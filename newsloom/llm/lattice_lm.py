@@ -25,6 +25,7 @@ import base64
 import math
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ PLAIN = 24
 WALK = 1 << 12
 FREQUENT, FREQUENT_BYTES = 200_000, 64
 FLUSH = 200_000
+#: Words and bytes of words that are walked at once: with a batch's thousand words a length has a few dozen, too few for operations on arrays.
+GATHER, GATHER_BYTES = 1 << 15, 1 << 22
 END = " "
 
 
@@ -199,6 +202,20 @@ def _groups(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield np.frombuffer(b"".join(b" " + words[i] for i in at.tolist()), np.uint8).reshape(len(at), n), at
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in order, consecutive batches as one until they have GATHER words or GATHER_BYTES bytes."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        size += batch.column("word").nbytes
+        if rows >= GATHER or size >= GATHER_BYTES:
+            yield pa.concat_batches(held)
+            held, rows, size = [], 0, 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def word_scores(words: list[bytes], vocabulary: Pieces, log_p: np.ndarray) -> np.ndarray:
     """Natural log of each word's probability; log_p has one place more than pieces, for none."""
     out = np.zeros(len(words))
@@ -279,7 +296,7 @@ def fit(words: DataFrame, vocabulary: str, rounds: int) -> tuple[np.ndarray, flo
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             v, total = pieces(vocabulary), None
-            for batch in batches:
+            for batch in _gathered(batches):
                 here = expected_counts(batch.column("word").to_pylist(), batch.column("trained").to_numpy(), v, shared.value)
                 total = here if total is None else total + here
             if total is not None:
@@ -307,7 +324,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = pieces(path)
-        for batch in batches:
+        for batch in _gathered(batches):
             ws, c = batch.column("word").to_pylist(), batch.column("trained").to_numpy()
             model = word_scores(ws, v, shared.value)
             model[[i for i, w in enumerate(ws) if w == end]] = log_end
@@ -334,7 +351,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 keys, times, owner, first = [], [], [], []
                 each = [[*t.lower().split(), end] for t in C.text_bytes(part.column("text"))]
                 sizes = np.array([len(ws) for ws in each])
-                codes = np.fromiter((get(w, none) for ws in each for w in ws), np.int64, int(sizes.sum()))
+                codes = np.fromiter(map(get, chain.from_iterable(each), repeat(none)), np.int64, int(sizes.sum()))
                 starts = np.cumsum(sizes) - sizes
                 sums = np.add.reduceat(value[codes], starts, axis=0)
                 for i, ws in enumerate(each):

@@ -442,6 +442,34 @@ def test_lattice_walks_long_words_in_blocks(monkeypatch):
     tracemalloc.stop()
 
 
+def test_lattice_gathers_small_batches(spark, monkeypatch):
+    """What the query's tasks do with batches of a thousand words and less: few walks over many words, with the same results."""
+    import pyarrow as pa
+
+    def cut(words, most):
+        whole = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([3] * len(words), pa.int64()), pa.array([2] * len(words), pa.int64())], ["word", "total", "trained"])
+        return [whole.slice(i, most) for i in range(0, len(words), most)]
+
+    docs, tasks, walked = spark.createDataFrame([(i, prose(40, i)) for i in range(20)], "doc_id long, text string"), [], []
+    real = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **k: (tasks.append(f), real(self, f, *a, **k))[1])
+    lattice_lm.score_texts(docs, rounds=1)
+    expect, scored = (next(f for f in tasks if f.__name__ == name) for name in ("expect", "scored"))
+    for name in ("expected_counts", "word_scores"):
+        monkeypatch.setattr(lattice_lm, name, lambda words, *a, f=getattr(lattice_lm, name): (walked.append(len(words)), f(words, *a))[1])
+    words = [b"%x" % (i * 2654435761) for i in range(lattice_lm.GATHER + 5000)]
+    for task in (expect, scored):
+        whole = pa.Table.from_batches(task(iter(cut(words, len(words)))))
+        walked.clear()
+        small = pa.Table.from_batches(task(iter(cut(words, 1000))))
+        assert len(walked) == 2 and sum(walked) == len(words) and max(walked) < lattice_lm.GATHER + 1000
+        assert small.column(0).equals(whole.column(0)) and all(np.allclose(small.column(c), whole.column(c), rtol=1e-9) for c in range(1, whole.num_columns))
+        assert not list(task(iter([])))
+    big = [b"x" * 300_000] * 40 + [b"y"]
+    got = list(lattice_lm._gathered(iter(cut(big, 1))))
+    assert [w for b in got for w in b.column("word").to_pylist()] == big and max(b.column("word").nbytes for b in got) < lattice_lm.GATHER_BYTES + 400_000
+
+
 def test_lm_scores_by_brute_force(spark, monkeypatch):
     """The query's score: the log of the sum over all segmentations of each word, by plain recursion, with the fitted pieces."""
     texts = [(i, prose(25, 70 + i), "en", "s", 0) for i in range(14)] + [(20, None, "en", "s", 0), (21, "x" * 300 + " Ünïcode 字字", "en", "s", 0)]
