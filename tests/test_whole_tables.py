@@ -55,6 +55,15 @@ def test_shared_sets_are_exact(spark):
     assert want and got == want
 
 
+def test_members_of_equal_sets_are_links(spark, tmp_path):
+    """Texts that differ by stops alone have equal shingles: the query loses none of them, and a group of copies gives a row a member."""
+    words = " ".join(f"word{i}" for i in range(40))
+    texts = [(5, words), (2, words.replace(" ", ", ")), (9, words + " more of them"), (7, "other words"), (3, None), (4, words.upper()), *((100 + i, words) for i in range(50))]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in registry.QUERIES["shingle_overlap"](spark, str(tmp_path)).select("a", "b", "both", "a_rows", "b_rows", "copy").collect())
+    assert got == [(2, 4, 37, 53, 53, True), (2, 5, 37, 53, 53, True), (2, 9, 37, 53, 1, False), *((2, 100 + i, 37, 53, 53, True) for i in range(50))]
+
+
 def test_max_cosine_in_blocks(spark):
     rng = np.random.default_rng(3)
     x, y = rng.standard_normal((50, 5)), rng.standard_normal((40, 5))
