@@ -64,6 +64,35 @@ def test_members_of_equal_sets_are_links(spark, tmp_path):
     assert got == [(2, 4, 37, 53, 53, True), (2, 5, 37, 53, 53, True), (2, 9, 37, 53, 1, False), *((2, 100 + i, 37, 53, 53, True) for i in range(50))]
 
 
+def test_copies_of_vectors_make_no_pairs(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(8)
+    kinds = rng.standard_normal((12, 3)).round(1)
+    v = {int(i): [0.0] * 3 if i % 17 == 0 else kinds[i % 12].tolist() for i in rng.permutation(180)}
+    rows = [(i, x, "even" if i % 2 else "odd") for i, x in v.items()] + [(500, None, "odd"), (501, None, "odd"), (502, [float("nan")] * 3, "even"), (503, [float("nan")] * 3, "even")]
+    df, seen, real = spark.createDataFrame(rows, "vec_id long, embedding array<double>, side string"), [], cluster.similar_pairs
+    monkeypatch.setattr(cluster, "similar_pairs", lambda rows, *a, **k: (seen.append(rows.count()), real(rows, *a, **k))[1])
+
+    def like(a, b):
+        x, y = np.array(a), np.array(b)
+        return x @ y / ((np.linalg.norm(x) + 1e-10) * (np.linalg.norm(y) + 1e-10)) >= 0.3
+
+    for bucket in (None, "side"):
+        leaders, lead = {}, []
+        for i, x, side in sorted(rows, key=lambda r: r[0]):
+            near = [j for j, y, other in lead if x and y and (bucket is None or side == other) and like(x, y)]
+            leaders[i] = min(near, default=i)
+            lead += [] if near else [(i, x, side)]
+        assert {r["vec_id"]: r["leader"] for r in cluster.cluster(df, 0.3, "vec_id", bucket=bucket).collect()} == leaders
+    zeros = sum(i % 17 == 0 for i in v)
+    assert seen == [12 + zeros + 4] * 2  # kinds of either parity are their own
+    df.drop("side").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r["a"], r["b"]): r["copy"] for r in registry.QUERIES["cosine_pairs"](spark, str(tmp_path)).collect()}
+    first = {i: min(j for j, y in v.items() if y == x) for i, x in v.items()}
+    want = {(first[i], i): True for i in v if first[i] < i and i % 17}
+    firsts = sorted({first[i] for i in v if i % 17})
+    assert got == want | {(a, b): False for a in firsts for b in firsts if a < b and like(v[a], v[b])}
+
+
 def test_max_cosine_in_blocks(spark):
     rng = np.random.default_rng(3)
     x, y = rng.standard_normal((50, 5)), rng.standard_normal((40, 5))
