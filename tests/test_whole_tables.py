@@ -5,6 +5,7 @@ import re
 import numpy as np
 
 from newsloom import registry
+from newsloom.functions import text as T
 from newsloom.operators import cluster, metrics
 
 
@@ -101,3 +102,23 @@ def test_max_cosine_in_blocks(spark):
     unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
     assert np.allclose([got[i] for i in range(50)], (unit(x) @ unit(y).T).max(axis=1))
     assert {r["cos"] for r in cluster.max_cosine(rows(x), rows(y).limit(0)).collect()} == {-1.0}
+
+
+def test_shared_sets_count_in_blocks(spark):
+    """Of common items no pairs are made, in Spark or in a table: sets meet in blocks, and the most frequent postings are added to what is found."""
+    rng = np.random.default_rng(19)
+    sets = [sorted({f"w{x}" for x in rng.zipf(1.4, 40) if x < 300} | {f"all{x}" for x in range(4)}) for _ in range(120)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(sets)], "id long, items array<string>")
+    found = metrics.shared_sets(df, 9, part=500, block=100)
+    assert "SortMergeJoin [item" not in found._jdf.queryExecution().toString()
+    first = {}
+    for i, x in enumerate(sets):
+        first.setdefault(tuple(x), i)
+    want = {(i, j): len(set(a) & set(b)) for a, i in first.items() for b, j in first.items() if i < j and len(set(a) & set(b)) >= 9}
+    assert want and {(r["a"], r["b"]): r["both"] for r in found.collect()} == want
+
+
+def test_shingles_of_ascii_words(spark):
+    rows = [(1, "One two, THREE four_five"), (2, "one TWOéthree four five"), (3, "one two three"), (4, None)]
+    got = {r["id"]: r["items"] for r in T.ascii_shingles(spark.createDataFrame(rows, "n long, t string"), "n", "t").collect()}
+    assert sorted(got[1]) == sorted(got[2]) and len(got[1]) == 2 and got[3] == got[4] == []
