@@ -122,3 +122,37 @@ def test_shingles_of_ascii_words(spark):
     rows = [(1, "One two, THREE four_five"), (2, "one TWOéthree four five"), (3, "one two three"), (4, None)]
     got = {r["id"]: r["items"] for r in T.ascii_shingles(spark.createDataFrame(rows, "n long, t string"), "n", "t").collect()}
     assert sorted(got[1]) == sorted(got[2]) and len(got[1]) == 2 and got[3] == got[4] == []
+
+
+def test_blocks_grow_with_the_table():
+    """What is dealt to pairs of blocks is a row for each block: their number stays, so that it grows in proportion."""
+    assert cluster.block_rows(100) == 2048 and {-(-n // cluster.block_rows(n)) for n in (60_000, 300_000, 700_000)} == {24}
+
+
+def test_vectors_are_dealt_as_they_are_stored(spark):
+    rows = spark.createDataFrame([(i, f"2026-01-0{i % 3 + 1}", [1.0, float(i)]) for i in range(6)], "id long, day string, embedding array<float>")
+    for found in (cluster.similar_pairs(rows, 0.5), metrics.nearest_earlier(rows.withColumn("d", rows["day"].cast("date")), "id", "d", "embedding")):
+        assert "array<double>" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert found.count() > 0
+
+
+def test_leaders_in_rounds(spark):
+    rng = np.random.default_rng(18)
+    v = [rng.standard_normal(4).round(1).tolist() for _ in range(120)] + [[0.0] * 4, [float("nan")] * 4, None, [0.0] * 4]
+    v[50] = v[3]
+    rows = [(int(i), x, "even" if i % 2 else "odd") for i, x in zip(rng.permutation(len(v)), v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, side string")
+    for bucket in (None, "side"):
+        want, lead = {}, []
+        for i, x, side in sorted(rows, key=lambda r: r[0]):
+            near = [j for j, y, z in lead if x and y and (bucket is None or side == z) and np.dot(x, y) / ((np.linalg.norm(x) + 1e-10) * (np.linalg.norm(y) + 1e-10)) >= 0.8]
+            want[i] = min(near, default=i)
+            lead += [] if near else [(i, x, side)]
+        got = {r["id"]: r["leader"] for r in cluster.led_in_rounds(df, 0.8, "vec_id", "embedding", bucket, block=17).collect()}
+        assert got == want
+
+
+def test_large_tables_are_clustered_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "similar_pairs", None)
+    df = spark.createDataFrame([(i, [1.0, float(i % 5)]) for i in range(30)], "id long, embedding array<double>")
+    assert cluster.cluster(df, 0.999, small=10).filter("id % 5 = leader").count() == 30
