@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..functions import text as T
+from ..plans.storage import small_batches
 
 NOISE = {"script", "style", "nav", "header", "footer", "aside", "form", "noscript", "template", "svg"}
 BREAKS = {"p", "br", "div", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "blockquote"}
@@ -80,7 +81,8 @@ def extract(html: str, least: int = S.MIN_TEXT_CHARS) -> tuple[str | None, str |
 
 
 def read_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """url, text, title, publish_date of each page."""
+    """url, text, title, publish_date of each page. A worker holds a small batch of pages, whatever the table's size."""
+    small_batches(pages.sparkSession)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
