@@ -205,3 +205,10 @@ def test_lexrank_in_blocks(spark):
             if done:
                 break
         assert np.allclose([got[r[0]] for r in own], p, atol=1e-12)
+
+
+def test_candidates_are_made_once(spark, data):
+    """Sentences are cut and compared in one step, whose table the scores and the choice read; equal sentences of an address come to the choice once."""
+    found = registry.QUERIES["sentence_selection"](spark, data)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "array_intersect" not in plan and found.count() > 0
